@@ -1,0 +1,14 @@
+import pytest
+
+from tests.compare import SF, same_rows
+from vicinal.plans.catalog import ORACLE, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, name):
+    same_rows(QUERIES[name](spark, SF), ORACLE[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_generators_give_rows(spark, name):
+    assert QUERIES[name](spark, SF).count() == 1000
