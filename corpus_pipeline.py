@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from vicinal.llm import langid, simhash  # noqa: E402
+from vicinal.llm import decontaminate, langid, mixing, sharding, simhash  # noqa: E402
 from vicinal.runtime import ensure_importable, materialise  # noqa: E402
 
 
@@ -23,9 +23,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or edited, go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.apply_mix(docs)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard of near-equal bytes."""
+    return sharding.with_shard(docs)
+
+
 STAGES = [
     ("language id", identify_language),
     ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", place_in_shards),
 ]
 
 #: Language models, alignments and balanced sampling have no SQL; tests hold each stage against brute force.

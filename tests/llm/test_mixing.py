@@ -1,0 +1,82 @@
+from collections import defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tests.compare import SF
+from vicinal.llm import mixing as M
+from vicinal.llm.catalog import QUERIES
+
+
+def slow_targets(sizes, weights):
+    """Exact: share by weight, cut at the cap, hand on the excess by weight, until none is above."""
+    t, capped = [Fraction(0)] * len(sizes), set()
+    give = Fraction(3, 2) * sum(sizes)
+    while give > 0 and len(capped) < len(sizes):
+        w = sum(weights[i] for i in range(len(sizes)) if i not in capped)
+        for i in range(len(sizes)):
+            if i not in capped:
+                t[i] += give * weights[i] / w
+        give = Fraction(0)
+        for i in range(len(sizes)):
+            if i not in capped and t[i] >= 2 * sizes[i]:
+                give += t[i] - 2 * sizes[i]
+                t[i] = Fraction(2 * sizes[i])
+                capped.add(i)
+    return [float(x) for x in t]
+
+
+def test_targets():
+    for sizes in ([100, 100, 100], [1000, 1, 1, 5], [0, 10, 90, 5, 5, 700], [7], [0, 0], []):
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        assert M.targets(sizes, weights) == pytest.approx(slow_targets(sizes, weights))
+
+
+def test_flight_keeps_totals_and_expectation():
+    rng = np.random.default_rng(1)
+    size, p = rng.integers(1, 1000, 300), rng.uniform(0.1, 0.9, 300)
+    out = M.flight(p, size, np.random.default_rng(2), 0)
+    assert ((out == 0) | (out == 1)).sum() >= 298
+    assert out.sum() == pytest.approx(p.sum(), abs=1e-6) and (out * size).sum() == pytest.approx((p * size).sum(), abs=1e-3)
+    runs = np.mean([M.flight(p[:8], size[:8], np.random.default_rng(s), 0) for s in range(4000)], axis=0)
+    assert np.abs(runs - p[:8]).max() < 0.04
+    same = M.flight(np.full(10, 0.5), np.full(10, 3), np.random.default_rng(1), 0)
+    assert sorted(same) == [0] * 5 + [1] * 5
+    landed = M.land(np.array([0.0, 0.5, 0.5, 1.0]), np.array([9, 4, 4, 2]))
+    assert landed.sum() == 2 and set(landed) == {0, 1}
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    count = lambda t: len([w for w in (t or "").translate(str.maketrans("\t\n\x0b\x0c\r", " " * 5)).split(" ") if w])
+    size = {r.doc_id: count(r.text) for r in docs}
+    total = defaultdict(int)
+    for r in docs:
+        total[r.source] += size[r.doc_id]
+    names = sorted(total)
+    want = dict(zip(names, slow_targets([total[n] for n in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    src = {r.doc_id: r.source for r in docs}
+    got = QUERIES["op8_mixing"](spark, SF).collect()
+    assert len(got) == len(docs)
+    taken = defaultdict(int)
+    for r in got:
+        s = src[r.doc_id]
+        assert r["size"] == size[r.doc_id] and r.source_size == total[s] and r.target == pytest.approx(want[s])
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] for s in names)
+    again = {r.doc_id: r.taken for r in QUERIES["op8_mixing"](spark, SF).repartition(3).collect()}
+    assert again == {r.doc_id: r.taken for r in got}
+
+
+def test_edges(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 20)
+    rows = [(i, "a b c " * (i % 7), f"s{i % 2}") for i in range(300)] + [(1, "x", None), (1, "x", None), (None, None, "s0"), (5, "", "é"), (6, "w " * 20000, "s0")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, source string, size int, p int")
+    got = M.mix(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    mixed = M.apply_mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.count() == sum(r.copies for r in got)
+    assert M.mix(docs.limit(0)).count() == 0 and M.apply_mix(docs.limit(0)).count() == 0

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vicinal.llm import langid, simhash
+from vicinal.llm import decontaminate, langid, mixing, sharding, simhash
 from vicinal.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +23,22 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("nth")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
+    "op3_sharding": op3_sharding,
+    "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
     "pipeline": corpus_pipeline.run,

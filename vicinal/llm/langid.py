@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm.common import Batches, arrow_session, held_out, unit_hash
-from vicinal.runtime import materialise
 
 #: Documents of each language that a model is fitted on, at most (expected number; chosen by a hash of the id).
 FIT_DOCS_PER_LANGUAGE = 4000
@@ -259,6 +258,34 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, RESULT)
 
 
+def _filtered(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """docs with only the rows of a language; batches are held until one Viterbi run, then filtered in place."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for b in held for t in b.column("text").to_pylist()]
+        out = _label(sent.value, [None] * len(texts), texts, False)
+        keep = np.array([k != UNDETERMINED and s >= least for k, s in zip(out["lang_pred"], out["score"], strict=True)], bool)
+        at = 0
+        for b in held:
+            yield b.filter(pa.array(keep[at : at + b.num_rows]))
+            at += b.num_rows
+
+    def scan(batches: Batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= 6 * WORDS_AT_ONCE:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def identify(docs: DataFrame, with_spans: bool = True) -> DataFrame:
     """Fit on docs, then predict all of docs."""
     return predict(docs, fit(docs), with_spans)
@@ -267,9 +294,8 @@ def identify(docs: DataFrame, with_spans: bool = True) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Documents whose text has letters of which at least that share is in one language, all columns kept.
 
-    The decision is joined back by doc_id; rows of one doc_id are one document and stay if any of them is
-    identified. Rows with a null doc_id go.
+    Rows are judged one by one where they lie. Where no language can be learned, no row stays.
     """
-    found = identify(docs, with_spans=False).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    kept = materialise(found.select(F.col("doc_id").alias("_kept")).distinct(), "identified")
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    arrow_session(docs.sparkSession)
+    model = fit(docs)
+    return _filtered(docs, model, least) if model.langs else docs.where("false")
