@@ -1,0 +1,130 @@
+import hashlib
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from tests.compare import SF
+from vicinal.llm import avi, jpeg
+from vicinal.llm.catalog import QUERIES
+
+
+def natural_jpeg(coefs, quant, restart=0):
+    """A baseline JPEG with runs, end-of-block codes and byte stuffing, from zigzag coefficients (8 x 8 grid of blocks)."""
+    dc = jpeg.Huffman([0, 0, 0, 12] + [0] * 12, list(range(12)))
+    symbols = [0x00, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]
+    ac = jpeg.Huffman([0, 0, 1, 0, 0, 0, 0, 0, 0, 161] + [0] * 6, symbols)
+    code = {}
+    for name, t in (("dc", dc), ("ac", ac)):
+        at, c = 0, 0
+        for n, k in enumerate(t.counts, 1):
+            for _ in range(k):
+                code[name, t.symbols[at]] = format(c, f"0{n}b")
+                at, c = at + 1, c + 1
+            c <<= 1
+    amplitude = lambda v, s: format(v if v > 0 else v + (1 << s) - 1, f"0{s}b") if s else ""
+    scan, bits, pred = b"", "", 0
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    for b, block in enumerate(coefs.tolist()):
+        if restart and b and b % restart == 0:
+            scan, bits, pred = scan + flush(bits) + bytes([0xFF, 0xD0 + (b // restart - 1) % 8]), "", 0
+        d, pred = block[0] - pred, block[0]
+        s = abs(d).bit_length()
+        bits += code["dc", s] + amplitude(d, s)
+        run = 0
+        last = max([k for k in range(1, 64) if block[k]], default=0)
+        for k in range(1, last + 1):
+            if not block[k]:
+                run += 1
+                continue
+            while run > 15:
+                bits, run = bits + code["ac", 0xF0], run - 16
+            s = abs(block[k]).bit_length()
+            bits += code["ac", run << 4 | s] + amplitude(block[k], s)
+            run = 0
+        if last < 63:
+            bits += code["ac", 0x00]
+    seg = jpeg._segment
+    head = jpeg.SOI + seg(0xE0, b"JFIF\0") + seg(0xDB, b"\0" + bytes(quant)) + seg(0xC0, struct.pack(">BHHB", 8, 60, 64, 1) + b"\1\x11\0")
+    head += seg(0xC4, b"\0" + bytes(dc.counts) + bytes(dc.symbols) + b"\x10" + bytes(ac.counts) + bytes(ac.symbols))
+    head += (seg(0xDD, struct.pack(">H", restart)) if restart else b"") + seg(0xDA, b"\1\1\0\0\x3f\0")
+    return head + scan + flush(bits) + jpeg.EOI
+
+
+@pytest.mark.parametrize("restart", [0, 1, 5])
+def test_general_frames_decode(restart):
+    rng = np.random.default_rng(restart)
+    coefs = np.where(rng.random((64, 64)) < 0.2, rng.integers(-200, 200, (64, 64)), 0)
+    coefs[:, 0] = rng.integers(-60, 60, 64)
+    coefs[3, 1:] = 0
+    quant = rng.integers(1, 9, 64).tolist()
+    got, pixels = jpeg.decode([natural_jpeg(coefs, quant, restart)])
+    assert (got[0] == coefs).all() and pixels.shape == (1, 60, 64)
+    block = np.zeros(64)
+    block[jpeg.ZIGZAG] = coefs[9] * np.array(quant)
+    c = block.reshape(8, 8)
+    want = [[sum(c[u, v] * (0.5 if u else 0.125**0.5) * (0.5 if v else 0.125**0.5) * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) for x in range(8)] for y in range(8)]
+    assert np.abs(pixels[0, 8:16, 8:16] - np.clip(np.array(want) + 128, 0, 255)).max() <= 1
+
+
+def test_carrier_is_lossless_and_both_decoders_agree():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 1024, 5000):
+        text = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        media = avi.store(text)
+        payload, size, shots, parsed, _ = avi.load(media)
+        assert size == n and payload[:n] == text and len(payload) == max(64, -(-n // 64) * 64) and not any(payload[n:])
+        f = parsed.frames[-1]
+        h = jpeg.parse_header(f[: f.find(b"\xff\xda") + 10])
+        assert (jpeg._decode_scan(h, f[h.scan :]) == jpeg.decode([f])[0][0]).all()
+        assert shots[0][0] == 0 and shots[-1][1] == len(parsed.frames)
+
+
+def test_shots_are_found():
+    """Three scenes of noise at different grey levels, as natural JPEG frames."""
+    rng = np.random.default_rng(2)
+    frames = []
+    for level in (-40, 30, -10):
+        for _ in range(8):
+            coefs = np.zeros((64, 64), int)
+            coefs[:, 0] = level + rng.integers(-3, 4, 64)
+            coefs[:, 1:6] = rng.integers(-5, 6, (64, 5))
+            frames.append(natural_jpeg(coefs, [8] * 64))
+    media = avi.write_avi(frames, 64, 60, fps=4)
+    _, shots, parsed, _ = avi.analyse(media)
+    assert shots == [(0, 8), (8, 16), (16, 24)] and parsed.fps == 4
+    cut = media.index(b"idx1")
+    assert len(avi.read_avi(media[:cut]).frames) == 24  # without an index
+
+
+def test_damage_is_an_error():
+    media = avi.store(b"text")
+    for bad in (b"", b"RIFFxxxxWAVE", media[:40], media.replace(b"payload=64", b"payload=99999", 1)):
+        with pytest.raises((ValueError, struct.error)):
+            avi.load(bad)
+
+
+def test_whole_table(spark):
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = QUERIES["op1_avi"](spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        t = text[r.doc_id]
+        p = t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert r.media_bytes > len(p) and len(r.media_sha256) == 64 and r.feature
+
+
+def test_clips_and_edges(spark):
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (2, "", 0), (3, "ab" * 300_000, 0), (None, "é" * 3000 + "Z" * 3000, 0)], "doc_id bigint, text string, media int")
+    got = avi.digests(docs).collect()
+    assert len(got) == 5 and len({(r.media_sha256, r.feature) for r in got if r.n_bytes == 0}) == 1
+    clips = avi.clips(avi.stored(docs)).collect()
+    assert sum(r.n_frames for r in clips if r.doc_id == 3) == 586 and all(r.end_s > r.start_s for r in clips)
+    assert sorted(r.first_frame for r in clips if r.doc_id is None)[0] == 0
+    assert avi.digests(docs.limit(0)).count() == 0
