@@ -193,10 +193,10 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are told apart by the same order as in units_of.
     """
-    copies = materialise(mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies")), "copies")
+    copies = materialise(mix(docs).where("copies > 0").select(F.col("doc_id").alias("__vicinal_id"), F.col("nth").alias("__vicinal_nth"), F.col("copies").alias("__vicinal_copies")), "copies")
     order = (F.col("source").cast("string"), word_count(), F.crc32(utf8()))
-    marked = docs.withColumn("_key", F.col("doc_id").cast("bigint"))
-    marked = marked.withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    same = marked["_key"].eqNullSafe(copies["_id"]) & (marked["_row"] == copies["_nth"])
-    taken = marked.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    marked = docs.withColumn("__vicinal_key", F.col("doc_id").cast("bigint"))
+    marked = marked.withColumn("__vicinal_row", F.row_number().over(Window.partitionBy("__vicinal_key").orderBy(*order)))
+    same = marked["__vicinal_key"].eqNullSafe(copies["__vicinal_id"]) & (marked["__vicinal_row"] == copies["__vicinal_nth"])
+    taken = marked.join(copies, same).withColumn("__vicinal_copy", F.explode(F.sequence(F.lit(1), F.col("__vicinal_copies"))))
     return taken.select(*docs.columns)

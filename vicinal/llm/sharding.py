@@ -131,13 +131,13 @@ def hashed_block(blocks: int = BLOCKS, doc_id: str = "doc_id") -> Column:
 
 
 def _measured(docs: DataFrame, old: Column, blocks: int) -> tuple[DataFrame, dict, dict]:
-    placed = docs.withColumns({"_old": old, "_block": hashed_block(blocks)})
-    rows = placed.select("_old", "_block", document_size().alias("_size")).groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")).collect()
-    return placed, {(r["_old"], r["_block"]): int(r["bytes"]) for r in rows}, {(r["_old"], r["_block"]): int(r["rows"]) for r in rows}
+    placed = docs.withColumns({"__vicinal_old": old, "__vicinal_block": hashed_block(blocks)})
+    rows = placed.select("__vicinal_old", "__vicinal_block", document_size().alias("__vicinal_size")).groupBy("__vicinal_old", "__vicinal_block").agg(F.sum("__vicinal_size").alias("bytes"), F.count("*").alias("rows")).collect()
+    return placed, {(r["__vicinal_old"], r["__vicinal_block"]): int(r["bytes"]) for r in rows}, {(r["__vicinal_old"], r["__vicinal_block"]): int(r["rows"]) for r in rows}
 
 
 def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, blocks: int = BLOCKS, capacities: list[int] | None = None) -> tuple[DataFrame, Plan]:
-    """docs with _old, _block, shard and _base (slot at which the block starts in its shard), and the plan.
+    """docs with shard and, under names with __vicinal_, old shard, block and base (the block's first slot); and the plan.
 
     old gives each row's present shard (default: by hash of the id), capacities the bytes each new shard
     shall hold (default: equal). Only block sizes reach the driver, and the table of blocks that is
@@ -153,8 +153,8 @@ def reshard(docs: DataFrame, shards: int = SHARDS, old: Column | None = None, bl
         j = plan.home[k]
         table.append((*k, j, base[j]))
         base[j] += rows[k]
-    homes = spark.createDataFrame(table, "_old int, _block int, shard int, _base bigint")
-    return placed.join(F.broadcast(homes), ["_old", "_block"]), plan
+    homes = spark.createDataFrame(table, "__vicinal_old int, __vicinal_block int, shard int, __vicinal_base bigint")
+    return placed.join(F.broadcast(homes), ["__vicinal_old", "__vicinal_block"]), plan
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
@@ -165,13 +165,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
     """
     light = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     placed, _ = reshard(light, shards, **options)
-    rows = placed.select("doc_id", "_old", "_block", "_base", document_size().alias("size"), F.crc32(utf8()).alias("text_crc32"), "shard")
-    nth = F.row_number().over(Window.partitionBy("_old", "_block").orderBy("doc_id", "size", "text_crc32"))
-    return rows.withColumn("slot", F.col("_base") + nth - 1).drop("_old", "_block", "_base")
+    rows = placed.select("doc_id", "__vicinal_old", "__vicinal_block", "__vicinal_base", document_size().alias("size"), F.crc32(utf8()).alias("text_crc32"), "shard")
+    nth = F.row_number().over(Window.partitionBy("__vicinal_old", "__vicinal_block").orderBy("doc_id", "size", "text_crc32"))
+    return rows.withColumn("slot", F.col("__vicinal_base") + nth - 1).drop("__vicinal_old", "__vicinal_block", "__vicinal_base")
 
 
 def with_shard(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
-    """docs, all columns, with their shard: a scan and a broadcast join, no shuffle of texts."""
+    """docs, all columns, with their shard (in place of a column of that name): a scan and a broadcast join, no shuffle of texts."""
     placed, _ = reshard(docs.drop("shard"), shards, **options)
     return placed.select(*(c for c in docs.columns if c != "shard"), "shard")
 
@@ -185,8 +185,8 @@ def rewrite(docs_dir: str, out_dir: str, spark, shards: int = SHARDS, blocks: in
     docs = spark.read.parquet(docs_dir)
     placed, sizes, _ = _measured(docs, F.col("shard").cast("int"), blocks)
     plan = plan_transfers(sizes, even(sum(sizes.values()), shards))
-    homes = spark.createDataFrame([(*k, j) for k, j in plan.home.items()], "_old int, _block int, _new int")
-    changed = placed.where(F.col("shard").isin(sorted(plan.affected))).join(F.broadcast(homes), ["_old", "_block"])
-    out = changed.drop("shard").withColumnRenamed("_new", "shard").select(*docs.columns)
-    out.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(split))).repartition("shard", "_part").drop("_part").write.mode("overwrite").partitionBy("shard").parquet(out_dir)
+    homes = spark.createDataFrame([(*k, j) for k, j in plan.home.items()], "__vicinal_old int, __vicinal_block int, __vicinal_new int")
+    changed = placed.where(F.col("shard").isin(sorted(plan.affected))).join(F.broadcast(homes), ["__vicinal_old", "__vicinal_block"])
+    out = changed.drop("shard").withColumnRenamed("__vicinal_new", "shard").select(*docs.columns)
+    out.withColumn("__vicinal_part", F.pmod(F.xxhash64("doc_id"), F.lit(split))).repartition("shard", "__vicinal_part").drop("__vicinal_part").write.mode("overwrite").partitionBy("shard").parquet(out_dir)
     return {j: f"{out_dir if j in plan.affected else docs_dir}/shard={j}" for j in range(shards) if plan.sizes[j]}

@@ -147,11 +147,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents with one row of each component left: that of the least doc_id, of repeats that of the least text checksum.
+    """Documents with one of each component left: that of the least doc_id.
 
-    Rows with a null doc_id have nothing to be joined by and stay as they are.
+    A doc_id names one document: of repeated rows that of the least text checksum stays, also where their
+    texts differ. Rows with a null doc_id have nothing to be joined by and stay as they are.
     """
-    gone = near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.crc32(utf8("text")), F.xxhash64("text")))
-    marked = docs.withColumn("_key", F.col("doc_id")).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    return marked.withColumn("_nth", nth).where("_nth = 1 or _key is null").select(*docs.columns)
+    named = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    gone = named.where("not first").select(F.col("doc_id").alias("__vicinal_gone"))
+    nth = F.row_number().over(Window.partitionBy("__vicinal_key").orderBy(F.crc32(utf8("text")), F.xxhash64("text")))
+    marked = docs.withColumn("__vicinal_key", F.col("doc_id")).join(gone, F.col("__vicinal_key") == F.col("__vicinal_gone"), "left_anti")
+    return marked.withColumn("__vicinal_nth", nth).where("__vicinal_nth = 1 or __vicinal_key is null").select(*docs.columns)
