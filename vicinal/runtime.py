@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +26,19 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/vicinal-shared"
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) our own.
+
+    Our own goes when the driver ends. Files in a folder that the cluster names are left to `release` and to its owner.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"file://{_own_dir()}"
+
+
+@cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="vicinal-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
