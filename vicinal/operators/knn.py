@@ -59,10 +59,11 @@ def pairwise(Q: DataFrame, X: DataFrame) -> DataFrame:
 
 
 def _sql(Q: DataFrame, X: DataFrame, k: int, tile_size: int | None) -> DataFrame:
-    cands = pairwise(Q, X).where(~F.isnan("dist"))
+    cands = pairwise(Q, X)
     if tile_size:
         cands = _ranked(cands.withColumn("tile", F.floor(F.col("x_id") / tile_size)), ["q_id", "tile"], k).drop("rank", "tile")
-    return _ranked(cands, ["q_id"], k)
+    # NaN ranks last, so it may be dropped afterwards; a filter on dist before would compute each distance twice
+    return _ranked(cands, ["q_id"], k).where(~F.isnan("dist"))
 
 
 def partials(Q: DataFrame, X: DataFrame, k: int, tile_size: int | None = None, query_batch: int | None = None) -> DataFrame:
