@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import jpeg
-from vicinal.llm.common import Batches, arrow_session, byte_rows, crc32, record_batch, utf8
+from vicinal.llm.common import Batches, arrow_session, byte_rows, crc32, map_batches, record_batch, utf8
 
 UNIT = 64
 FPS = 25
@@ -162,7 +162,7 @@ def stored(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([store(t) for t in byte_rows(b, "text")], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text")).mapInArrow(scan, "doc_id bigint, media binary")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text")), scan, "doc_id bigint, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def clips(media: DataFrame) -> DataFrame:
                     rows += [(i, k, s, e - s, s / fps, e / fps) for k, (s, e) in enumerate(shots)]
             yield record_batch(schema, {f.name: [r[k] for r in rows] for k, f in enumerate(schema)})
 
-    return media.select("doc_id", "media").mapInArrow(scan, "doc_id bigint, clip int, first_frame int, n_frames int, start_s double, end_s double")
+    return map_batches(media.select("doc_id", "media"), scan, "doc_id bigint, clip int, first_frame int, n_frames int, start_s double, end_s double")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -202,4 +202,4 @@ def digests(docs: DataFrame) -> DataFrame:
                     out[f.name].append(v)
             yield record_batch(schema, out)
 
-    return stored(docs).mapInArrow(scan, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_batches(stored(docs), scan, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Batches, arrow_session
+from vicinal.llm.common import Batches, arrow_session, map_batches
 
 #: Words of a seed; items of fewer words are their own seed.
 SEED = 3
@@ -25,9 +25,9 @@ LEAK = 0.5
 #: Bytes of item text in one broadcast block; more items mean more passes over the documents.
 BLOCK_BYTES = 4 << 20
 #: Cells of one batch of alignments.
-CELLS = 1 << 21
+CELLS = 1 << 20
 #: Characters hashed at a time.
-CHARS = 1 << 20
+CHARS = 1 << 18
 WORD = re.compile(r"\w+")
 #: Powers of an odd base modulo 2^64.
 POWERS = np.cumprod(np.full(1024, 0xD6E8FEB86659FD93, np.uint64))
@@ -279,7 +279,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
             at = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["code", "n"])
 
-        seen = docs.select("text").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        seen = map_batches(docs.select("text"), count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(len(it.codes), np.int64)
         df[seen["code"].to_numpy()] = seen["n"].to_numpy()
         yield rare_seeds(it, df, n_docs)
@@ -305,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "similarity", "end_word"])
 
-        part = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, LEAKS)
+        part = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), scan, LEAKS)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], LEAKS)
 
@@ -321,5 +321,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep[[f[0] for f in _leaking(sent.value, b.column("text").to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(scan, docs.schema)
+        docs = map_batches(docs, scan, docs.schema)
     return docs

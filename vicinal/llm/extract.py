@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Batches, arrow_session
+from vicinal.llm.common import Batches, arrow_session, map_batches
 from vicinal.llm.decontaminate import word_hashes
 from vicinal.llm.html import Block, blocks
 from vicinal.llm.layouts import MARK, labelled_page
@@ -211,4 +211,4 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
             cols = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(scan, RESULT)
+    return map_batches(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), scan, RESULT)

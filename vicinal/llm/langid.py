@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Batches, arrow_session, held_out, unit_hash
+from vicinal.llm.common import Batches, arrow_session, held_out, map_batches, unit_hash
 
 #: Documents of each language that a model is fitted on, at most (expected number; chosen by a hash of the id).
 FIT_DOCS_PER_LANGUAGE = 4000
@@ -23,7 +23,7 @@ WORD_LIMIT, WRONG_SCRIPT = 25.0, 60.0
 SCRIPT_SHARE = 0.001
 BUCKETS = 1 << 16
 #: Words that one Viterbi run spans, and characters of which scores are computed at a time.
-WORDS_AT_ONCE, CHARS_AT_ONCE = 1 << 21, 1 << 20
+WORDS_AT_ONCE, CHARS_AT_ONCE = 1 << 20, 1 << 18
 UNDETERMINED = "und"
 RESULT = "doc_id bigint, lang_pred string, score double, spans array<struct<word:int,n_words:int,lang:string>>"
 
@@ -126,8 +126,9 @@ def viterbi(emissions: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -
     steps = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
     L = emissions.shape[1]
-    own = np.arange(L, dtype=np.int16)
-    back = np.zeros((len(emissions), L), np.int16)
+    number = np.int8 if L < 128 else np.int16
+    own = np.arange(L, dtype=number)
+    back = np.zeros((len(emissions), L), number)
     last = np.zeros(len(size), np.int64)
     V = np.zeros((len(size), L), np.float32)
     for t in range(steps):
@@ -147,7 +148,7 @@ def viterbi(emissions: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -
             V = V[:n] + emissions[at]
     if steps:
         last[: len(V)] = V.argmax(1)
-    path = np.zeros(len(emissions), np.int16)
+    path = np.zeros(len(emissions), number)
     for t in range(steps - 1, -1, -1):
         n = active[t]
         at = first[:n] + t
@@ -218,7 +219,7 @@ def fit(docs: DataFrame) -> Model:
         k, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[k, bucket])], names=["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(scan, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_batches(sample, scan, "lang int, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     return make_model(langs, rows["lang"].to_numpy(), rows["bucket"].to_numpy(), rows["n"].to_numpy())
 
 
@@ -255,7 +256,7 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
         if ids:
             yield flush(ids, texts)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, RESULT)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), scan, RESULT)
 
 
 def _filtered(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -283,7 +284,7 @@ def _filtered(docs: DataFrame, model: Model, least: float) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_batches(docs, scan, docs.schema)
 
 
 def identify(docs: DataFrame, with_spans: bool = True) -> DataFrame:

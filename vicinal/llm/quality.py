@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import boosting
-from vicinal.llm.common import Batches, arrow_session, byte_rows, held_out, unit_hash, utf8
+from vicinal.llm.common import Batches, arrow_session, byte_rows, held_out, map_batches, unit_hash, utf8
 from vicinal.runtime import materialise
 
 #: Labelled documents that a model is fitted on, at most (expected number; chosen by a hash of the id).
@@ -67,7 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([statistics(t) for t in byte_rows(b, "text")], pa.list_(pa.float32()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text")).mapInArrow(scan, "doc_id bigint, f array<float>")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text")), scan, "doc_id bigint, f array<float>")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -99,7 +99,7 @@ def score(stats: DataFrame, forest: boosting.Forest) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(_matrix(b.column("f"))))], names=["doc_id", "score"])
 
-    return stats.mapInArrow(scan, "doc_id bigint, score double")
+    return map_batches(stats, scan, "doc_id bigint, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.llm import golay
-from vicinal.llm.common import Batches, arrow_session, byte_rows, utf8
+from vicinal.llm.common import Batches, arrow_session, byte_rows, map_batches, utf8
 from vicinal.llm.components import connected_components
 from vicinal.runtime import materialise
 
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in byte_rows(b, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text")).mapInArrow(scan, "doc_id bigint, fp bigint")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text")), scan, "doc_id bigint, fp bigint")
 
 
 def bucket_keys(fps: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def bucket_keys(fps: DataFrame) -> DataFrame:
                 key = (np.int64(s) << 60) | (exact[row] << 12) | fuzzy
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], schema=schema)
 
-    return fps.select("fp").mapInArrow(scan, "key bigint, fp bigint")
+    return map_batches(fps.select("fp"), scan, "key bigint, fp bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:

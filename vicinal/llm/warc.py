@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Batches, arrow_session
+from vicinal.llm.common import Batches, arrow_session, map_batches
 from vicinal.runtime import materialise
 
 #: Payload bytes from which equal records become revisits.
@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
         if held:
             yield archive()
 
-    return planned(pages).mapInArrow(scan, "archive string, data binary")
+    return map_batches(planned(pages), scan, "archive string, data binary")
 
 
 def export(archives: DataFrame, folder: str) -> None:
@@ -166,7 +166,7 @@ def export(archives: DataFrame, folder: str) -> None:
                 os.replace(f"{folder}/.{name}.tmp", f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([b.column("archive")], names=["archive"])
 
-    archives.mapInArrow(scan, "archive string").write.format("noop").mode("overwrite").save()
+    map_batches(archives, scan, "archive string").write.format("noop").mode("overwrite").save()
 
 
 def archives_of(spark, folder: str) -> DataFrame:
@@ -189,7 +189,7 @@ def segments(archives: DataFrame) -> DataFrame:
                 for a in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 500]], f.type) for k, f in enumerate(ARROW_RECORD)], schema=ARROW_RECORD)
 
-    return archives.select("data").mapInArrow(scan, RECORD)
+    return map_batches(archives.select("data"), scan, RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def pages_of(records: DataFrame) -> DataFrame:
                 rows.append((page and int(page), h.get("warc-target-uri"), size, digest, kind, refers and int(refers)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return records.mapInArrow(scan, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return map_batches(records, scan, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
