@@ -292,7 +292,7 @@ def identify(docs: DataFrame, with_spans: bool = True) -> DataFrame:
     return predict(docs, fit(docs), with_spans)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Documents whose text has letters of which at least that share is in one language, all columns kept.
 
     Rows are judged one by one where they lie. Where no language can be learned, no row stays.
