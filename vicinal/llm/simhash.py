@@ -142,8 +142,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = linked.where("root is not null").groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = roots.join(grouped, "root").select(F.col("node").alias("fp"), "component_id")
     lookup = linked.select("fp", "least_id", root.alias("root")).join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    # AQE splits the documents of a hot fingerprint over tasks; the other side has one row for each fingerprint
-    return fps.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # as a table of its own, so that both sides are shuffled and AQE may split the documents of a hot fingerprint
+    return fps.join(materialise(lookup, "lookup"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
