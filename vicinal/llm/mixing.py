@@ -151,10 +151,15 @@ def sample(units: DataFrame, rows: dict[int, int]) -> DataFrame:
         level += 1
 
 
+def document_key() -> Column:
+    """doc_id with a value for null, so that plain equality and one partitioning hold throughout."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+
+
 def units_of(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, and nth: the number of the row among repeats of its doc_id."""
     light = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.crc32(utf8()).alias("crc"))
-    return light.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "crc"))).drop("crc")
+    return light.withColumn("nth", F.row_number().over(Window.partitionBy(document_key()).orderBy("source", "size", "crc"))).drop("crc")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -193,10 +198,11 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are told apart by the same order as in units_of.
     """
-    copies = materialise(mix(docs).where("copies > 0").select(F.col("doc_id").alias("__vicinal_id"), F.col("nth").alias("__vicinal_nth"), F.col("copies").alias("__vicinal_copies")), "copies")
+    copies = materialise(mix(docs).where("copies > 0").select(document_key().alias("__vicinal_id"), F.col("nth").alias("__vicinal_nth"), F.col("copies").alias("__vicinal_copies")), "copies")
     order = (F.col("source").cast("string"), word_count(), F.crc32(utf8()))
-    marked = docs.withColumn("__vicinal_key", F.col("doc_id").cast("bigint"))
+    marked = docs.withColumn("__vicinal_key", document_key())
     marked = marked.withColumn("__vicinal_row", F.row_number().over(Window.partitionBy("__vicinal_key").orderBy(*order)))
-    same = marked["__vicinal_key"].eqNullSafe(copies["__vicinal_id"]) & (marked["__vicinal_row"] == copies["__vicinal_nth"])
+    # the row's number is compared by a range, so that the join is by the key alone and texts are shuffled once
+    same = (marked["__vicinal_key"] == copies["__vicinal_id"]) & marked["__vicinal_row"].between(copies["__vicinal_nth"], copies["__vicinal_nth"])
     taken = marked.join(copies, same).withColumn("__vicinal_copy", F.explode(F.sequence(F.lit(1), F.col("__vicinal_copies"))))
     return taken.select(*docs.columns)
