@@ -1,12 +1,10 @@
-import re
-
 from vicinal.llm import licenses as L
 
 DOCS = "doc_id bigint, text string"
 
 
 def test_every_known_sentence_has_an_anchor_and_rules_use_known_ones():
-    assert all(re.search(L.ANCHORS, s.lower()) for s in L.SENTENCES.values())
+    assert all(any(a in s.lower() for a in L.ANCHORS) for s in L.SENTENCES.values())
     assert {i for _, r in L.RULES for i in r} <= set(L.SENTENCES)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +72,7 @@ RULES = [
 #: A rule that lies within a longer one that also matches says nothing of its own.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Each known sentence holds one of these, so a text without any needs no splitting.
-ANCHORS = "licen[sc]e|rights reserved|permission|redistribut|free software|public domain"
+ANCHORS = ["licens", "licenc", "rights reserved", "permission", "redistribut", "free software", "public domain"]
 #: Sentences end at this punctuation before white space. Split are the text by lines as well, and with its
 #: lines joined: a notice may stand on a line of its own or be wrapped.
 BY_LINE, WRAPPED = "[.!?:;]+[ \\t\\r]+|[.!?:;]*\\n", "[.!?:;]+[ \\t\\r\\n]+"
@@ -116,9 +119,13 @@ def scan(docs: DataFrame) -> DataFrame:
     scan is one projection without a shuffle.
     """
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.lower(text).rlike(ANCHORS), text).otherwise("").alias("text"))
-    found = own.select("doc_id", _matches(_sequence(F.col("text"), BY_LINE), _sequence(F.col("text"), WRAPPED)).alias("found"))
-    return found.select("doc_id", F.array_join("found", ",").alias("licenses"), F.size("found").alias("n_licenses"))
+    candidate = reduce(or_, (F.contains(F.lower(text), F.lit(a)) for a in ANCHORS))
+    # a lambda's argument is computed once, however often its body refers to it; a projection would be inlined
+    own = F.array(F.when(candidate, text).otherwise(""))
+    sequences = F.transform(own, lambda t: F.struct(_sequence(t, BY_LINE).alias("a"), _sequence(t, WRAPPED).alias("b")))
+    found = F.transform(sequences, lambda s: _matches(s["a"], s["b"]))
+    result = F.transform(found, lambda f: F.struct(F.array_join(f, ",").alias("licenses"), F.size(f).alias("n_licenses")))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.inline(result))
 
 
 def scan_sql() -> str:
