@@ -71,3 +71,47 @@ def test_edited_copies_common_items_and_edges(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id, round(r.similarity, 2)) for r in D.leaks(docs, bench).collect()) == found
     assert D.leaks(docs, bench.limit(0)).count() == 0 and D.leaks(docs.limit(0), bench).count() == 0
     assert D.decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def all_leaks(rows, items):
+    """Every document against every item by full alignment."""
+    want = set()
+    for d, text in rows:
+        for i, item in items:
+            ids = {w: n for n, w in enumerate(D.words(item))}
+            window = np.array([[ids.get(w, -1) for w in D.words(text)]])
+            score = int(D.align(window, np.array([[ids[w] for w in D.words(item)]]))[0][0])
+            if score >= D.LEAK * D.MATCH * len(D.words(item)):
+                want.add((d, i, score))
+    return want
+
+
+def test_edited_copies_alone_in_groups_and_beside_a_verbatim_one(spark):
+    rng = random.Random(7)
+    items = [(k, " ".join(f"i{k}w{n}" if n % 3 else f"c{n // 3}" for n in range(31 + k))) for k in range(8)]
+    filler = lambda n: " ".join(rng.choice([f"f{rng.randrange(300)}", f"c{rng.randrange(12)}"]) for _ in range(n))
+    every = lambda t, n, edit: " ".join(edit(w) if k % n == n - 1 else w for k, w in enumerate(t.split()))
+    swap, put = (lambda w: f"x{rng.randrange(99)}"), (lambda w: f"{w} x{rng.randrange(99)}")
+    copies = [(0, 4, swap, 1), (1, 5, swap, 1), (2, 4, swap, 200), (3, 5, swap, 200), (4, 4, swap, 1), (5, 3, swap, 1), (6, 1, put, 1), (7, 2, lambda w: "", 1), (7, 3, lambda w: "", 1)]
+    texts = [f"{filler(20)} {every(items[i][1], n, edit)} {filler(20)}" for i, n, edit, times in copies for _ in range(times)]
+    texts += [items[4][1], *(filler(200) for _ in range(20))]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in D.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == all_leaks(rows, items) and {i for _, i, _ in got} == set(range(8)) and len(got) >= 407
+
+
+def test_no_leak_is_lost_whatever_the_edits():
+    rng = random.Random(8)
+    items = [(k, " ".join(f"w{rng.randrange(30)}" for _ in range(n))) for k, n in enumerate([3, 3, 4, 5, 6, 7, 8, 9, 12, 15, 20])]
+    it = D.make_items([i for i, _ in items], [t for _, t in items])
+    rows = []
+    for d in range(600):
+        out = []
+        share = rng.random() * 0.5
+        for w in rng.choice(items)[1].split():
+            edit = rng.random() / share if share else 9
+            out += [w] if edit > 1 else [["x"], [], [w, "x"], [w, "x", "y"]][rng.randrange(4)]
+        rows.append((d, " ".join([f"w{rng.randrange(60)}" for _ in range(rng.randrange(9))] + out)))
+    got = {(d, i, s) for d, i, s, _, _ in D._leaking(it, [t for _, t in rows])}
+    assert got == all_leaks(rows, items) and len(got) > 300

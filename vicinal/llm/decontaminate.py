@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: word pairs that a leak must share find candidates, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 
 from vicinal.llm.common import Batches, arrow_session, map_batches
 
-#: Words of a seed; items of fewer words are their own seed.
-SEED = 3
-#: Share of the documents up to which an n-gram counts as rare. N-grams up to twice as common as the median
-#: of their item count as rare too: so an item that itself stands in very many documents keeps its seeds.
-RARE = 0.0005
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Share of the score of a verbatim copy from which a document leaks an item.
 LEAK = 0.5
+#: Zeros behind each text, so that no pair of words spans two texts.
+PAD = 3
 #: Bytes of item text in one broadcast block; more items mean more passes over the documents.
 BLOCK_BYTES = 4 << 20
 #: Cells of one batch of alignments.
@@ -66,11 +63,11 @@ class Items:
     ids: list
     vocab: dict[str, int]
     tokens: list[np.ndarray]
-    codes: np.ndarray  # sorted distinct n-gram codes
-    short: np.ndarray  # sizes below SEED that occur among items
+    codes: np.ndarray  # sorted distinct seed codes
     first: np.ndarray  # per code: its first posting
     item: np.ndarray  # postings by code: item number
-    place: np.ndarray  # and position of the n-gram in the item
+    place: np.ndarray  # and position of the seed in the item
+    need: np.ndarray  # per item: seeds that a document must hit to leak it
 
     def __post_init__(self):
         """Word numbers by sorted 64-bit word hash, behind a sieve on the hash's first 16 bits."""
@@ -79,74 +76,87 @@ class Items:
         self.hashes, self.numbers = h[order], np.array(list(self.vocab.values()), np.int64)[order]
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[h >> np.uint64(48)] = True
+        self.length = np.array([len(t) for t in self.tokens], np.int64)
 
-    def grams(self, t: np.ndarray, n: int) -> np.ndarray:
-        """Code of the n-gram at each position, -1 where a word is unknown or the text ends."""
-        out, base, known = np.zeros(len(t), np.int64), len(self.vocab) + 1, np.ones(len(t), bool)
-        for i in range(n):
-            w = np.zeros(len(t), np.int64)
-            w[: len(t) - i] = t[i:]
-            known &= w > 0
-            out = out * base + w
-        return np.where(known, out * base ** (SEED - n), -1)
+    def code(self, a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
+        """Code of a pair of known words, or of one word."""
+        return a * (len(self.vocab) + 1) + b
 
     def hits(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, code number) of every seed in a token sequence."""
+        """(position, code number) of every seed in a token sequence: words, and pairs with at most one word between."""
         where, which = [], []
-        for n in (SEED, *self.short):
-            code = self.grams(t, int(n))
-            at = np.flatnonzero(code >= 0)
-            k = np.minimum(np.searchsorted(self.codes, code[at]), max(len(self.codes) - 1, 0))
-            ok = self.codes[k] == code[at] if len(self.codes) else np.zeros(0, bool)
-            where.append(at[ok])
+        at = np.flatnonzero(t)
+        for apart in (0, 1, 2):
+            if apart:
+                own = at[: np.searchsorted(at, len(t) - apart)]
+                own = own[t[own + apart] > 0]
+                code = self.code(t[own], t[own + apart])
+            else:
+                own = at[self.alone[t[at]]]
+                code = self.code(t[own])
+            ok = np.flatnonzero(self.seeds[_slot(code)])
+            own, code = own[ok], code[ok]
+            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            ok = self.codes[k] == code
+            where.append(own[ok])
             which.append(k[ok])
         return np.concatenate(where), np.concatenate(which)
 
 
+def _slot(code: np.ndarray) -> np.ndarray:
+    return (code.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(44)
+
+
+def needed(length: int) -> int:
+    """Seeds that every alignment worth a leak holds: pairs of neighbours of the item, matched with at most one word between.
+
+    Of an item of n words let x be replaced or left out within the alignment, o lie outside it, and u foreign words
+    be put in. Its score, 2 (n - x - o) - x - u, is at least n, so 3 x + 2 o + u <= n. Of the n - x - o - 1 steps from
+    one matched word to the next at most x + u / 2 are no such pairs; n - 1 - (2 x + o + u / 2) >= n / 3 - 1 are.
+    Of three words two match, and their seeds are single words. Items of one or two words must occur with all of them.
+    """
+    return 2 if length == 3 else max(1, -(-length // 3) - 1)
+
+
 def make_items(ids: list, texts: list[str | None]) -> Items:
     split = [words(t) for t in texts]
     vocab: dict[str, int] = {}
     tokens = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in s], np.int64) for s in split]
-    short = np.unique([len(t) for t in tokens if 0 < len(t) < SEED]).astype(np.int64)
-    it = Items(ids, vocab, tokens, np.zeros(0, np.int64), short, *(np.zeros(0, np.int64),) * 3)
-    code, item, place = [], [], []
+    none = np.zeros(0, np.int64)
+    need = np.array([needed(len(t)) for t in tokens], np.int64)
+    it = Items(ids, vocab, tokens, none, none, none, none, need)
+    code, item, place = [none], [none], [none]
     for i, t in enumerate(tokens):
-        if len(t):
-            n = min(SEED, len(t))
-            own = it.grams(t, n)[: len(t) - n + 1]
-            code.append(own)
-            item.append(np.full(len(own), i))
-            place.append(np.arange(len(own)))
-    if code:
-        _index(it, np.concatenate(code), np.concatenate(item), np.concatenate(place))
+        own = it.code(t) if len(t) in (1, 3) else it.code(t[:-1], t[1:])
+        code.append(own)
+        item.append(np.full(len(own), i))
+        place.append(np.arange(len(own)))
+    _index(it, np.concatenate(code), np.concatenate(item), np.concatenate(place))
     return it
 
 
 def _index(it: Items, code: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+    """Postings of all items. Each item does without the half of its needed seeds that most items share, and needs as many less."""
+    _, nth, n = np.unique(code, return_inverse=True, return_counts=True)
+    order = np.lexsort((place, -n[nth], item))
+    size = np.bincount(item, minlength=len(it.ids))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    order = order[rank >= (it.need // 2)[item[order]]]
+    it.need = it.need - it.need // 2
+    code, item, place = code[order], item[order], place[order]
     order = np.lexsort((place, item, code))
     it.codes, start = np.unique(code[order], return_index=True)
     it.first = np.append(start, len(code))
     it.item, it.place = item[order], place[order]
-
-
-def rare_seeds(it: Items, df: np.ndarray, n_docs: int) -> Items:
-    """Items with only the seeds that are rare in the corpus, or for their item."""
-    if not len(it.codes):
-        return it
-    code_no = np.repeat(np.arange(len(it.codes)), np.diff(it.first))
-    count = df[code_no]
-    order = np.lexsort((count, it.item))
-    size = np.bincount(it.item, minlength=len(it.ids))
-    middle = np.cumsum(size) - size + size // 2
-    median = np.where(size > 0, count[order][np.minimum(middle, len(order) - 1)], 0)
-    keep = count <= np.maximum(RARE * n_docs, 2 * median[it.item])
-    out = Items(it.ids, it.vocab, it.tokens, it.codes, it.short, it.first, it.item, it.place)
-    _index(out, it.codes[code_no[keep]], it.item[keep], it.place[keep])
-    return out
+    it.seeds = np.zeros(1 << 20, bool)
+    it.seeds[_slot(it.codes)] = True
+    base = len(it.vocab) + 1
+    it.alone = np.zeros(base, bool)
+    it.alone[it.codes[it.codes % base == 0] // base] = True
 
 
 def _encode(texts: list[str | None], it: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts (0: no word of an item), each text followed by SEED zeros, and where each text starts."""
+    """Tokens of all texts (0: no word of an item), each text followed by PAD zeros, and where each text starts."""
     parts, starts, at, a = [], [], 0, 0
     while a < len(texts):
         b, chars = a, 0
@@ -155,13 +165,13 @@ def _encode(texts: list[str | None], it: Items) -> tuple[np.ndarray, np.ndarray]
             b += 1
         h, doc = word_hashes(texts[a:b])
         own = np.bincount(doc, minlength=b - a)
-        start = np.cumsum(own + SEED) - own - SEED
-        t = np.zeros(int(own.sum()) + SEED * (b - a), np.int64)
+        start = np.cumsum(own + PAD) - own - PAD
+        t = np.zeros(int(own.sum()) + PAD * (b - a), np.int64)
         k = np.flatnonzero(it.sieve[h >> np.uint64(48)])
         place = np.minimum(np.searchsorted(it.hashes, h[k]), len(it.hashes) - 1)
         same = it.hashes[place] == h[k]
         k, place = k[same], place[same]
-        t[k + SEED * doc[k]] = it.numbers[place]
+        t[k + PAD * doc[k]] = it.numbers[place]
         parts.append(t)
         starts.append(start + at)
         at, a = at + len(t), b
@@ -191,17 +201,25 @@ def align(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _windows(it: Items, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, item, first, stop) token windows that hold every alignment through a seed."""
+    """(text, item, first, stop) token windows that hold every alignment worth a leak."""
     where, code = it.hits(t)
     n = np.diff(it.first)[code] if len(it.codes) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(where)), n)
     post = it.first[code[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) if len(row) else np.zeros(0, np.int64)
     pos, item, place = where[row], it.item[post], it.place[post]
     doc = np.searchsorted(start, pos, side="right") - 1
-    length = np.array([len(x) for x in it.tokens], np.int64)
-    # an alignment scores above 0 only while gaps stay below the words matched: twice the item covers it
-    lo, hi = pos - place - length[item], pos + 2 * length[item] - place + 1
+    length = it.length
+    # an alignment worth a leak spans at most two item lengths of text: only where enough seeds stand that near is one
     order = np.lexsort((pos, item, doc))
+    doc, item, pos, place = doc[order], item[order], pos[order], place[order]
+    last = np.arange(len(doc)) + it.need[item] - 1
+    ok = last < len(doc)
+    last = np.minimum(last, len(doc) - 1)
+    ok = np.flatnonzero(ok & (doc[last] == doc) & (item[last] == item) & (pos[last] - pos <= 2 * length[item]))
+    doc, item, pos, place = doc[ok], item[ok], pos[ok], place[ok]
+    # and it puts in at most as many words as the item has, before or after a seed
+    lo, hi = pos - place - length[item], pos + 2 * length[item] - place + 1
+    order = np.lexsort((lo, item, doc))
     doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
     if not len(doc):
         return (doc, item, lo, hi)
@@ -221,11 +239,11 @@ def _windows(it: Items, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, .
 
 
 def find(it: Items, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-    """(text number, item number, score, end word) of the best alignment of every candidate pair."""
+    """(text number, item number, score, end word) of the best alignment of every candidate pair: of every leak, and others."""
     t, start = _encode(texts, it)
     doc, item, a, b = _windows(it, t, start)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    length = np.array([len(x) for x in it.tokens], np.int64)
+    length = it.length
     order = np.lexsort((b - a, length[item])) if len(doc) else []
     at = 0
     while at < len(order):
@@ -249,47 +267,36 @@ def find(it: Items, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
 
 
 def _leaking(it: Items, texts: list[str | None]) -> list[tuple[int, int, int, float, int]]:
-    found = find(it, texts)
+    found, a = [], 0
+    while a < len(texts):
+        b, chars = a + 1, len(texts[a] or "")
+        while b < len(texts) and chars + len(texts[b] or "") <= CHARS:
+            chars += len(texts[b] or "")
+            b += 1
+        found += [(a + d, *rest) for d, *rest in find(it, texts[a:b])]
+        a = b
     return [(d, i, s, s / (MATCH * len(it.tokens[i])), e) for d, i, s, e in found if s >= LEAK * MATCH * len(it.tokens[i])]
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """Items in blocks of bounded size, each with the seeds that are rare over all documents."""
+    """Items in blocks of bounded size, each with its seeds."""
     arrow_session(docs.sparkSession)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n = max(1, -(-(size[0] + 16 * size[1]) // BLOCK_BYTES))
-    n_docs = docs.count() if size[1] else 0
     for k in range(n):
         own = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
         own = own if n == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = sorted(own.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
         it = make_items([r[0] for r in rows], [r[1] for r in rows])
-        if not len(it.codes):
-            continue
-        sent = docs.sparkSession.sparkContext.broadcast(it)
-
-        def count(batches: Batches, sent=sent) -> Iterator[pa.RecordBatch]:
-            it = sent.value
-            df = np.zeros(len(it.codes), np.int64)
-            for b in batches:
-                t, start = _encode(b.column("text").to_pylist(), it)
-                where, code = it.hits(t)
-                doc = np.searchsorted(start, where, side="right") - 1
-                df += np.bincount(np.unique(doc * len(it.codes) + code) % len(it.codes), minlength=len(it.codes))
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["code", "n"])
-
-        seen = map_batches(docs.select("text"), count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-        df = np.zeros(len(it.codes), np.int64)
-        df[seen["code"].to_numpy()] = seen["n"].to_numpy()
-        yield rare_seeds(it, df, n_docs)
+        if len(it.codes):
+            yield it
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and test item that it leaks: score and similarity of the best alignment.
 
     Similarity is the score over that of a verbatim copy; end_word is the word after the alignment.
-    Documents are scanned whole where they lie, twice for each block of items, without a shuffle. Items or
+    Documents are scanned whole where they lie, once for each block of items, without a shuffle. Items or
     documents without words never match; repeated documents each give their rows, repeated items one.
     """
     spark = docs.sparkSession
