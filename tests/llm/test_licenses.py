@@ -33,3 +33,19 @@ def test_sequences_wrapping_and_edges(spark):
     con.executemany("insert into documents values (?, ?)", rows)
     want = con.execute(L.scan_sql()).fetchall()
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.licenses, r.n_licenses)) for r in L.scan(df).collect())
+
+
+def found(spark, texts):
+    rows = L.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    return [r.licenses for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_every_sentence_and_every_rule_is_found(spark):
+    ids = {str(k): k for k in L.SENTENCES}
+    df = spark.createDataFrame([(k, f"prose here.\n{s}.\nmore") for k, s in L.SENTENCES.items()], DOCS)
+    got = {r.doc_id: (r.a, r.b) for r in df.select("doc_id", L._sequence(df.text, L.BY_LINE).alias("a"), L._sequence(df.text, L.WRAPPED).alias("b")).collect()}
+    assert got == {k: (f",{13 if k == 32 else k},",) * 2 for k in ids.values()}
+    assert all(n in g for (n, _), g in zip(L.RULES, found(spark, [text(r) for _, r in L.RULES]), strict=True))
+    mpl = L.SENTENCES[29].replace("Public License", "Public\n * License")
+    texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: Apache-2.0\n", f"/* {mpl}. If a copy\n * was not given", "SPDX-License-Identifier: Released under the MIT License."]
+    assert found(spark, texts) == ["MIT", "Apache-2.0", "MPL-2.0", "MIT"]

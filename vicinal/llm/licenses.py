@@ -77,6 +77,8 @@ ANCHORS = ["licens", "licenc", "rights reserved", "permission", "redistribut", "
 #: lines joined: a notice may stand on a line of its own or be wrapped.
 BY_LINE, WRAPPED = "[.!?:;]+[ \\t\\r]+|[.!?:;]*\\n", "[.!?:;]+[ \\t\\r\\n]+"
 LETTERS = "[^a-z0-9]+"
+#: First pieces of the known sentences that hold such punctuation within (29 to 31).
+HALVES = ["spdx license identifier", "this source code form is subject to the terms of the mozilla public license v"]
 
 
 def normalised(sentence: str) -> str:
@@ -93,7 +95,11 @@ def _sequence(text: Column, pattern: str) -> Column:
     """Identifiers of the known sentences in order, as ,a,b,c, ."""
     table = F.create_map(*(F.lit(v) for kv in known().items() for v in kv))
     normal = lambda s: F.trim(F.regexp_replace(F.lower(s), LETTERS, " "))
-    ids = F.filter(F.transform(F.split(text, pattern), lambda s: F.try_element_at(table, normal(s))), lambda k: k.isNotNull())
+    own = F.array(F.transform(F.split(text, pattern), normal))
+    # a few known sentences are cut in two by the patterns: a piece counts with its successor too
+    two = lambda p, s, i: F.try_element_at(table, F.concat(s, F.lit(" "), F.get(p, i + 1)))
+    found = F.transform(own, lambda p: F.transform(p, lambda s, i: F.coalesce(F.try_element_at(table, s), F.when(s.isin(HALVES), two(p, s, i)))))
+    ids = F.filter(F.flatten(found), lambda k: k.isNotNull())
     return F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
 
 
