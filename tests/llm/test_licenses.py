@@ -49,3 +49,17 @@ def test_every_sentence_and_every_rule_is_found(spark):
     mpl = L.SENTENCES[29].replace("Public License", "Public\n * License")
     texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: Apache-2.0\n", f"/* {mpl}. If a copy\n * was not given", "SPDX-License-Identifier: Released under the MIT License."]
     assert found(spark, texts) == ["MIT", "Apache-2.0", "MPL-2.0", "MIT"]
+
+
+def test_whole_licence_files(spark):
+    import textwrap
+
+    wrap = lambda *ids: "\n\n".join(textwrap.fill(L.SENTENCES[i] + ".", 70) for i in ids)
+    head = "Copyright (c) 2020 Some Body"
+    texts = [
+        f"MIT License\n\n{head}\n\n{wrap(10, 11)}\n\nTHE SOFTWARE IS PROVIDED AS IS",
+        f"{head}\n\n{wrap(12, 13, 14, 15)}\n", f"BSD 2-Clause License\r\n\r\n{head}\r\n\r\n{wrap(12, 32, 14)}".replace("\r\n", "\n").replace("\n", "\r\n"),
+        f"{head}\n{wrap(20)}", "/*\n * " + f"{head}\n\n{wrap(10, 11)}".replace("\n", "\n * ") + "\n */",
+        "About this\n\n" + textwrap.fill(L.SENTENCES[21], 40) + "\n\nNext part", f"{head}.\n" + wrap(10, 11).replace("\n", "\n\n"),
+    ]
+    assert found(spark, texts) == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MIT", "CC-BY-4.0", "MIT"]

@@ -74,7 +74,8 @@ WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Each known sentence holds one of these, so a text without any needs no splitting.
 ANCHORS = ["licens", "licenc", "rights reserved", "permission", "redistribut", "free software", "public domain"]
 #: Sentences end at this punctuation before white space. Split are the text by lines as well, and with its
-#: lines joined: a notice may stand on a line of its own or be wrapped.
+#: lines joined: a notice may stand on a line of its own or be wrapped. It may also be wrapped below a line
+#: without punctuation (paragraphs()).
 BY_LINE, WRAPPED = "[.!?:;]+[ \\t\\r]+|[.!?:;]*\\n", "[.!?:;]+[ \\t\\r\\n]+"
 LETTERS = "[^a-z0-9]+"
 #: First pieces of the known sentences that hold such punctuation within (29 to 31).
@@ -91,6 +92,16 @@ def known() -> dict[str, int]:
     return plain | {" ".join(normalised(SENTENCES[32]).split()): 13}
 
 
+def paragraphs() -> str:
+    """WRAPPED, and splits at blank lines and at each line that begins as a known sentence does, behind comment signs or not.
+
+    Nine words tell a sentence's beginning from the middle of another one.
+    """
+    gap = "[^a-zA-Z0-9]+"
+    begins = sorted({gap.join(k.split()[:9]) for k in known()})
+    return f"{WRAPPED}|[.!?:;]*\\n(?:[ \\t\\r]*\\n|(?=[^a-zA-Z0-9]{{0,20}}(?i:{'|'.join(begins)})))"
+
+
 def _sequence(text: Column, pattern: str) -> Column:
     """Identifiers of the known sentences in order, as ,a,b,c, ."""
     table = F.create_map(*(F.lit(v) for kv in known().items() for v in kv))
@@ -103,7 +114,7 @@ def _sequence(text: Column, pattern: str) -> Column:
     return F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
 
 
-def _matches(by_line: Column, wrapped: Column) -> Column:
+def _matches(*sequences: Column) -> Column:
     names = list(dict.fromkeys(n for n, _ in RULES))
     hit = {}
     for name in names:
@@ -111,7 +122,7 @@ def _matches(by_line: Column, wrapped: Column) -> Column:
         for rule, ids in RULES:
             if rule == name:
                 part = "," + ",".join(map(str, ids)) + ","
-                any_of = any_of | F.contains(by_line, F.lit(part)) | F.contains(wrapped, F.lit(part))
+                any_of = reduce(or_, (F.contains(s, F.lit(part)) for s in sequences), any_of)
         hit[name] = any_of
     found = [F.when(hit[n] & ~(hit[WITHIN[n]] if n in WITHIN else F.lit(False)), F.lit(n)) for n in names]
     return F.array_sort(F.filter(F.array(*found), lambda n: n.isNotNull()))
@@ -128,8 +139,8 @@ def scan(docs: DataFrame) -> DataFrame:
     candidate = reduce(or_, (F.contains(F.lower(text), F.lit(a)) for a in ANCHORS))
     # a lambda's argument is computed once, however often its body refers to it; a projection would be inlined
     own = F.array(F.when(candidate, text).otherwise(""))
-    sequences = F.transform(own, lambda t: F.struct(_sequence(t, BY_LINE).alias("a"), _sequence(t, WRAPPED).alias("b")))
-    found = F.transform(sequences, lambda s: _matches(s["a"], s["b"]))
+    sequences = F.transform(own, lambda t: F.struct(_sequence(t, BY_LINE).alias("a"), _sequence(t, WRAPPED).alias("b"), _sequence(t, paragraphs()).alias("c")))
+    found = F.transform(sequences, lambda s: _matches(s["a"], s["b"], s["c"]))
     result = F.transform(found, lambda f: F.struct(F.array_join(f, ",").alias("licenses"), F.size(f).alias("n_licenses")))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.inline(result))
 
