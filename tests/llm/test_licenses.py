@@ -63,3 +63,14 @@ def test_whole_licence_files(spark):
         "About this\n\n" + textwrap.fill(L.SENTENCES[21], 40) + "\n\nNext part", f"{head}.\n" + wrap(10, 11).replace("\n", "\n\n"),
     ]
     assert found(spark, texts) == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC", "MIT", "CC-BY-4.0", "MIT"]
+
+
+def test_wrapped_and_double_spaced_notices_equal_sql(spark):
+    import duckdb
+
+    texts = ["Mine. All rights\nreserved.", "All  rights  reserved.", f"{L.SENTENCES[25]}.".replace("public ", "public\n"), f"{L.SENTENCES[26]}.".replace(" ", "  ")]
+    assert found(spark, texts) == ["all-rights-reserved", "all-rights-reserved", "CC0-1.0", "Unlicense"]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert [r[1] for r in sorted(con.execute(L.scan_sql()).fetchall())] == found(spark, texts)

@@ -71,8 +71,9 @@ RULES = [
 ]
 #: A rule that lies within a longer one that also matches says nothing of its own.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
-#: Each known sentence holds one of these, so a text without any needs no splitting.
-ANCHORS = ["licens", "licenc", "rights reserved", "permission", "redistribut", "free software", "public domain"]
+#: Each known sentence holds one of these, so a text without any needs no splitting. No white space: between
+#: two words a text may have any.
+ANCHORS = ["licens", "licenc", "reserved", "permission", "redistribut", "software", "domain"]
 #: Sentences end at this punctuation before white space. Split are the text by lines as well, and with its
 #: lines joined: a notice may stand on a line of its own or be wrapped. It may also be wrapped below a line
 #: without punctuation (paragraphs()).
