@@ -3,8 +3,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from vicinal.functions.kernel import top_k
-from vicinal.operators.knn import knn, knn_wide, recall
+from vicinal.functions.kernel import Rows, Running, nearest
+from vicinal.operators import knn as K
+from vicinal.operators.knn import knn, knn_wide, pairwise, recall
 from vicinal.plans.variants import VARIANTS, run_variant
 from vicinal.sources.generate import gaussian, queries
 
@@ -77,7 +78,12 @@ def test_kernel_equals_brute_force(seed, k, m, d, coarse):
     rng = np.random.default_rng(seed)
     make = lambda n: (rng.integers(-2, 3, (n, d)) if coarse else rng.standard_normal((n, d))).astype(np.float32)
     q, x, ids = make(4), make(m), rng.permutation(m).astype(np.int64)
-    qi, xi, dist = top_k(np.arange(4), q, ids, x, k)
+    one = nearest(q, Rows(ids, x), k)
+    run = Running(q, k, 3)
+    for a in range(0, m, 7):
+        run.add(ids[a : a + 7], x[a : a + 7])
+    assert all((u == v).all() for u, v in zip(one, run.lists, strict=True))
+    qi, xi, dist = one
     for a in range(4):
         acc = np.zeros(m, np.float32)
         for j in range(d):
@@ -85,3 +91,18 @@ def test_kernel_equals_brute_force(seed, k, m, d, coarse):
         order = np.lexsort((ids, acc))[:k]
         assert xi[qi == a].tolist() == ids[order].tolist()
         assert dist[qi == a].tolist() == acc[order].tolist()
+
+
+def test_grid_equals_broadcast(spark, monkeypatch):
+    """Queries beyond the block bound meet the corpus on a grid, in both strategies, without a driver's collect."""
+    X, Q = gaussian(spark, 301, 5), queries(spark, 40, 5)
+    want = {s: sorted(map(tuple, knn(Q, X, 4, strategy=s).collect())) for s in ("sql", "arrow")}
+    pairs = sorted(map(tuple, pairwise(Q, X).collect()))
+    monkeypatch.setattr(K, "QUERY_BLOCK_BYTES", 400)
+    monkeypatch.setattr(K, "CELL_BYTES", 4000)
+    for s, rows in want.items():
+        assert sorted(map(tuple, knn(Q, X, 4, strategy=s).collect())) == rows
+    assert sorted(map(tuple, pairwise(Q, X).collect())) == pairs
+    assert "CartesianProduct" not in pairwise(Q, X)._jdf.queryExecution().toString()
+    monkeypatch.setattr(K, "HELD", 50)
+    assert sorted(map(tuple, knn(Q, X, 4, strategy="arrow", tile_size=3).collect())) == want["arrow"]

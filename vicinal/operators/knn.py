@@ -7,55 +7,77 @@ are left out, a query equal to a corpus row matches it at 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import checked_vector, l2sq
-from vicinal.functions.kernel import top_k
-from vicinal.runtime import ensure_importable
+from vicinal.functions.kernel import Running
+from vicinal.runtime import ensure_importable, input_bytes, share
 
-#: Bytes of query vectors that one pass over the corpus may ship to the executors.
+#: Most bytes of query vectors that are shipped to every executor; more queries meet the corpus on a grid.
 QUERY_BLOCK_BYTES = 32 << 20
+#: Bytes of corpus vectors in one cell of that grid.
+CELL_BYTES = 64 << 20
 #: Pairs from which the Arrow kernel pays for starting Python workers.
 ARROW_FROM_PAIRS = 100_000
-#: float64 cells of one screening matrix.
-CELLS = 1 << 21
+#: float64 cells of one screening matrix, corpus rows screened at a time, and list entries that a task holds.
+CELLS, ROWS_AT_ONCE, HELD = 1 << 21, 8192, 1 << 23
+#: A file scan makes no split smaller than this, so a smaller corpus has fewer partitions than there are cores.
+LEAST_SPLIT = 4 << 20
 PARTIAL = "q_id bigint, tile bigint, x_id bigint, dist float"
 
 
-def _dimension(Q: DataFrame, X: DataFrame) -> int | None:
-    for df, c in ((Q, "q_vec"), (X, "x_vec")):
-        row = df.where(F.col(c).isNotNull()).select(F.size(c)).first()
-        if row:
-            return row[0]
-    return None
+def _measure(Q: DataFrame) -> tuple[int, int]:
+    """Number of queries and their dimension, in one aggregate."""
+    row = Q.agg(F.count("*"), F.max(F.array_size("q_vec"))).first()
+    return row[0], row[1] or 0
 
 
 def _ranked(cands: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Top k rows of each key by (dist, x_id); Spark puts a group limit below the shuffle for k up to its threshold."""
-    spark = cands.sparkSession
-    if k > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
     w = Window.partitionBy(*keys).orderBy("dist", "x_id")
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _spread(X: DataFrame) -> DataFrame:
+    """X over all cores where it is too small for the scan to be: few rows times all queries are much work."""
+    cores = X.sparkSession.sparkContext.defaultParallelism
+    return X.repartition(cores, "x_id") if input_bytes(X) < LEAST_SPLIT * cores else X
+
+
+def _vectors(Q: DataFrame, X: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    return Q.select("q_id", checked_vector("q_vec", d).alias("q_vec")), _spread(X.select("x_id", "x_vec")).select("x_id", checked_vector("x_vec", d).alias("x_vec"))
+
+
+def _hashed(column: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("grid"), column), F.lit(parts)).cast("int")
+
+
+def _on_grid(q: DataFrame, x: DataFrame, q_blocks: int, x_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the cells (qb, xb) where they meet: a query goes to each corpus block, a corpus row to each query block."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return q.withColumn("qb", _hashed("q_id", q_blocks)).withColumn("xb", every(x_blocks)), x.withColumn("xb", _hashed("x_id", x_blocks)).withColumn("qb", every(q_blocks))
+
+
 def pairwise(Q: DataFrame, X: DataFrame) -> DataFrame:
     """Every (query, corpus row) pair with its distance: the search before its top-k.
 
-    The queries are the stated, size-checked side; beyond QUERY_BLOCK_BYTES Spark chooses the join.
+    The queries are the stated, size-checked side; beyond QUERY_BLOCK_BYTES both sides meet on a grid of
+    cells by equality, so that a task holds one cell's queries and nothing is broadcast.
     """
-    d = _dimension(Q, X)
-    if d is None:
-        return X.sparkSession.createDataFrame([], "q_id bigint, x_id bigint, dist float")
-    q = Q.select("q_id", checked_vector("q_vec", d).alias("q_vec"))
-    x = X.select("x_id", checked_vector("x_vec", d).alias("x_vec"))
-    small = Q.count() * (d * 4 + 16) <= QUERY_BLOCK_BYTES
-    return x.crossJoin(F.broadcast(q) if small else q).select("q_id", "x_id", l2sq("q_vec", "x_vec").alias("dist"))
+    n, d = _measure(Q)
+    q, x = _vectors(Q, X, d)
+    blocks = -(-n * (d * 4 + 16) // QUERY_BLOCK_BYTES)
+    if blocks <= 1:
+        pairs = x.crossJoin(F.broadcast(q))
+    else:
+        left, right = _on_grid(q, x, blocks, max(1, -(-X.count() * (d * 4 + 16) // CELL_BYTES)))
+        pairs = left.join(right, ["qb", "xb"])
+    return pairs.select("q_id", "x_id", l2sq("q_vec", "x_vec").alias("dist"))
 
 
 def _sql(Q: DataFrame, X: DataFrame, k: int, tile_size: int | None) -> DataFrame:
@@ -66,52 +88,72 @@ def _sql(Q: DataFrame, X: DataFrame, k: int, tile_size: int | None) -> DataFrame
     return _ranked(cands, ["q_id"], k).where(~F.isnan("dist"))
 
 
+def _matrix(batch: pa.RecordBatch | pa.Table, column: str, d: int) -> np.ndarray:
+    vec = batch[column]
+    vec = vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec
+    return np.asarray(vec.flatten()).astype(np.float32, copy=False).reshape(batch.num_rows, d)
+
+
+def _long(batch: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    return np.asarray(batch[column].to_numpy() if isinstance(batch, pa.Table) else batch[column].to_numpy(zero_copy_only=False), np.int64)
+
+
+def _search(batches: Iterable[pa.RecordBatch], q_ids: np.ndarray, q: np.ndarray, k: int, tile_size: int | None, query_batch: int | None) -> Iterator[pa.RecordBatch]:
+    """Partial lists of all the batches together: k rows a query and tile, given out once, at the end.
+
+    What is held is bounded by HELD list entries; a task that meets more tiles than that gives lists out early.
+    """
+    best: dict[int, Running] = {}
+    step = min(query_batch or len(q), max(1, CELLS // ROWS_AT_ONCE))
+
+    def lists() -> Iterator[pa.RecordBatch]:
+        for tile, r in best.items():
+            qi, ids, dist = r.lists
+            for a in range(0, len(qi), 1 << 16):
+                own = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi[own]]), pa.array(np.full(len(qi[own]), tile, np.int64)), pa.array(ids[own]), pa.array(dist[own], pa.float32())], names=["q_id", "tile", "x_id", "dist"])
+        best.clear()
+
+    for batch in batches:
+        for a in range(0, batch.num_rows if len(q) else 0, ROWS_AT_ONCE):
+            part = batch.slice(a, ROWS_AT_ONCE)
+            ids, vecs = _long(part, "x_id"), _matrix(part, "x_vec", q.shape[1])
+            tiles = ids // tile_size if tile_size else np.zeros(len(ids), np.int64)
+            for tile in np.unique(tiles).tolist():
+                own = tiles == tile
+                if tile not in best:
+                    if len(best) * len(q) * k > HELD:
+                        yield from lists()
+                    best[tile] = Running(q, k, step)
+                best[tile].add(ids[own], vecs[own])
+    yield from lists()
+
+
 def partials(Q: DataFrame, X: DataFrame, k: int, tile_size: int | None = None, query_batch: int | None = None) -> DataFrame:
-    """Top k of each query within each Arrow batch (and tile) of the corpus: q_id, tile, x_id, dist.
+    """Top k of each query within each task's share of the corpus (and tile): q_id, tile, x_id, dist.
 
-    Queries go out in blocks of at most QUERY_BLOCK_BYTES, one corpus pass per block, so what is
-    broadcast has a fixed bound. A task holds one batch of corpus rows and one block of queries.
+    Queries of up to QUERY_BLOCK_BYTES (and HELD list entries) are shipped to the executors, and the corpus
+    is scanned once where it lies. More queries than that never pass the driver: blocks of queries and of
+    corpus rows are shuffled to the cells of a grid, each held by one task.
     """
     spark = X.sparkSession
     ensure_importable(spark)
-    d = _dimension(Q, X)
-    if d is None:
+    n, d = _measure(Q)
+    if not n:
         return spark.createDataFrame([], PARTIAL)
-    q = Q.select("q_id", checked_vector("q_vec", d).alias("q_vec"))
-    x = X.select("x_id", checked_vector("x_vec", d).alias("x_vec"))
-    per_block = max(1, QUERY_BLOCK_BYTES // (d * 4 + 16))
-    n = q.count()
-    blocks = -(-n // per_block)
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b)
-        table = part.toArrow()
-        ids = table["q_id"].to_numpy()
-        vecs = np.asarray(table["q_vec"].combine_chunks().flatten()).astype(np.float32).reshape(len(ids), d)
-        sent = spark.sparkContext.broadcast((ids, vecs))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q_ids, q_vecs = sent.value
-            for batch in batches:
-                m = batch.num_rows
-                if not m or not len(q_ids):
-                    continue
-                x_ids = batch["x_id"].to_numpy(zero_copy_only=False)
-                rows = np.asarray(batch["x_vec"].flatten()).astype(np.float32).reshape(m, d)
-                tiles = x_ids // tile_size if tile_size else np.zeros(m, np.int64)
-                step = min(query_batch or len(q_ids), max(1, CELLS // m))
-                for tile in np.unique(tiles):
-                    own = tiles == tile
-                    for a in range(0, len(q_ids), step):
-                        qi, xi, dist = top_k(q_ids[a : a + step], q_vecs[a : a + step], x_ids[own], rows[own], k)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(qi, pa.int64()), pa.array(np.full(len(qi), tile, np.int64)), pa.array(xi, pa.int64()), pa.array(dist, pa.float32())],
-                            names=["q_id", "tile", "x_id", "dist"],
-                        )
-
-        found = x.mapInArrow(scan, PARTIAL)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], PARTIAL)
+    q, x = _vectors(Q, X, d)
+    per_block = max(1, min(QUERY_BLOCK_BYTES // (d * 4 + 16), HELD // k))
+    if n <= per_block:
+        table = q.toArrow()  # at most QUERY_BLOCK_BYTES
+        sent = share(spark, (_long(table, "q_id"), _matrix(table, "q_vec", d)))
+        return x.mapInArrow(lambda batches: _search(batches, *sent.value, k, tile_size, query_batch), PARTIAL)
+    left, right = _on_grid(q, x, -(-n // per_block), max(1, -(-X.count() * (d * 4 + 16) // CELL_BYTES)))
+
+    def cell(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found = list(_search(rows.to_batches(), _long(queries, "q_id"), _matrix(queries, "q_vec", d), k, tile_size, query_batch))
+        return pa.Table.from_batches(found, pa.schema([("q_id", pa.int64()), ("tile", pa.int64()), ("x_id", pa.int64()), ("dist", pa.float32())]))
+
+    return left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInArrow(cell, PARTIAL)
 
 
 def merge_partials(parts: DataFrame, k: int) -> DataFrame:
@@ -119,6 +161,11 @@ def merge_partials(parts: DataFrame, k: int) -> DataFrame:
     return _ranked(parts.where(F.col("x_id").isNotNull() & ~F.isnan("dist")), ["q_id"], k).select("q_id", "rank", "x_id", "dist")
 
 
+def chosen(Q: DataFrame, X: DataFrame, query_batch: int | None = None) -> str:
+    """The strategy that auto takes: sql below ARROW_FROM_PAIRS pairs. Row counts come from file footers."""
+    return "arrow" if query_batch or Q.count() * X.count() > ARROW_FROM_PAIRS else "sql"
+
+
 def knn(
     Q: DataFrame,
     X: DataFrame,
@@ -142,7 +189,7 @@ def knn(
         raise ValueError("tile_size and query_batch must be at least 1")
     Q, X = Q.select("q_id", "q_vec"), X.select("x_id", "x_vec")
     if strategy == "auto":
-        strategy = "arrow" if query_batch or Q.count() * X.count() > ARROW_FROM_PAIRS else "sql"
+        strategy = chosen(Q, X, query_batch)
     if strategy not in ("sql", "arrow"):
         raise ValueError(f"unknown strategy {strategy!r}")
     more = k + 1 if exclude_self else k

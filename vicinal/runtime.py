@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: What is left to clean up at the driver's end, by the key it is released under.
+_left: dict[object, Callable[[], None]] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_thread = threading.local()
+
 
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package where it is installed beside the driver's copy.
@@ -26,11 +37,14 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) our own.
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Our own goes when the driver ends. Files in a folder that the cluster names are left to `release` and to its owner.
+    Where it is unset a local master (tests, one machine) gets a folder of our own. On a cluster that would
+    be a different disk on each machine, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or f"file://{_own_dir()}"
 
 
@@ -41,22 +55,87 @@ def _own_dir() -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+def _scopes() -> list[list[object]]:
+    if not hasattr(_thread, "scopes"):
+        _thread.scopes = []
+    return _thread.scopes
+
+
+def _hold(key: object, close: Callable[[], None], outlive: bool) -> None:
+    _left[key] = close
+    scopes = _scopes()[:-1] if outlive else _scopes()
+    if scopes:
+        scopes[-1].append(key)
+
+
+def _close(key: object) -> None:
+    close = _left.pop(key, None)
+    if close:
+        close()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Everything materialised or broadcast within goes at the end, but for what is to outlive it.
+
+    Frames that read such files must have been run by then. Without a scope, files last until `release`
+    or the driver's end: a lazy result needs them until its caller has run it.
+    """
+    _scopes().append([])
+    try:
+        yield
+    finally:
+        for key in _scopes().pop():
+            _close(key)
+
+
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    sc = SparkContext._active_spark_context
+    conf = sc._jsc.hadoopConfiguration() if sc and sc._jsc else jvm.org.apache.hadoop.conf.Configuration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _clean_up() -> None:
+    for key in [k for k in _left if isinstance(k, str)]:
+        try:
+            _close(key)
+        except Exception:  # noqa: BLE001  the JVM may be gone, and the folder with it
+            return
+
+
+def materialise(df: DataFrame, label: str = "step", outlive: bool = False) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back.
 
-    Unlike a cached block the files outlive the executor that wrote them.
+    Unlike a cached block the files outlive the executor that wrote them. They go with the scope around
+    (`scratch`), or with the next outer one if they are to outlive it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinal/{label}-{uuid.uuid4().hex}"
+    _hold(path, lambda: _delete(path), outlive)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
 def release(*frames: DataFrame) -> None:
     """Delete the files behind frames that `materialise` returned; never read them afterwards."""
     for df in frames:
-        for f in df.inputFiles()[:1]:
-            folder = f.rsplit("/", 1)[0]
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _close(_paths[df])
+
+
+def share(spark: SparkSession, value: object, outlive: bool = False) -> Broadcast:
+    """A broadcast variable that is destroyed with the scope around. What is shipped must have a known bound."""
+    sent = spark.sparkContext.broadcast(value)
+    _hold(id(sent), sent.destroy, outlive)
+    return sent
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes that df reads: file sizes where it is a scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
