@@ -9,6 +9,5 @@ def test_query_equals_sql(spark, name):
     same_rows(QUERIES[name](spark, SF), ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_generators_give_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() == 1000
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)

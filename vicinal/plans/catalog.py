@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from vicinal.functions.text import csv_ints
 from vicinal.operators import blocks, report
 from vicinal.operators.knn import knn, knn_wide, merge_partials, pairwise, partials
 from vicinal.plans.variants import run_variant
-from vicinal.sources import generate
+from vicinal.runtime import shared_dir
+from vicinal.sources import generate, reports
 from vicinal.sources.vectors import corpus, query_set
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +67,19 @@ def _cluster_gather(s: SparkSession, d: str) -> DataFrame:
     return blocks.gather(rows, centers).select("q_id", "group_id", "center_label")
 
 
+def _stored(read: Callable[[SparkSession, list[str]], DataFrame]) -> Query:
+    """A reader over two reports that are written first: the rows of each src as a JSON document, and one failure."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        folder, rows = f"{shared_dir(s)}/vicinal/reports-{uuid.uuid4().hex}", _bench(s).orderBy("src", "pos").collect()
+        for src in (0, 1):
+            own = [{c: r[c] for c in ("variant", "n", "k", "ms", "recall")} for r in rows if r.src == src]
+            reports.store_report(s, f"{folder}/{src}", {"m": 1000 + src, "d": 8}, own, [{"variant": "q2", "n": 5, "k": src, "error": "ValueError: no"}])
+        return read(s, [f"{folder}/0", f"{folder}/1"])
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     **{f"knn_k{k}": _search(k) for k in (1, 2, 4, 8, 10, 16, 32, 64)},
     "knn_with_dists": lambda s, d: knn_wide(query_set(s, d), corpus(s, d), 10),
@@ -97,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "variant_order": _over_bench(report.ordered_variants),
     "compare_full_outer": _over_bench(lambda df: report.compare(df.where("src = 0 and variant = 'baseline'"), df.where("variant = 'tiled'"))),
     "panel_filter": _over_bench(lambda df: report.panels(df, [2, 64])),
+    "json_results": _stored(lambda s, paths: reports.read_results(s, paths).select("src", "pos", "variant", "n", "k", "ms", "recall")),
+    "json_meta": _stored(reports.read_meta),
+    "json_failures": _stored(reports.read_failures),
 }
 
 _STATS = f"select variant, n, k, count(ms) trials, avg(ms) mean_query_ms, stddev_pop(ms) std_query_ms from {BENCH} group by variant, n, k"
@@ -105,14 +123,18 @@ ORACLE: dict[str, str] = {
     **{f"knn_k{k}": _knn_sql(k) for k in (1, 2, 4, 8, 10, 16, 32, 64)},
     "knn_with_dists": f"select q_id, list(x_id order by rank) ids, list(dist order by rank) dists from ({_knn_sql(10)}) group by q_id",
     **{n: _knn_sql(10) for n in ("knn_heap_k10", "knn_qbatch2", "knn_tiled", "knn_sorted", "knn_merge_partials", *(f"knn_qgroup{n}" for n in (4, 8, 16, 32, 64, 128)))},
-    "knn_k_gt_m": """select cast(0 as bigint) q_id, cast(rank as integer) rank, cast(x_id as bigint) x_id, cast(dist as float) dist
- from (values (1, 0, 0), (2, 4, 0), (3, 1, 1), (4, 2, 1), (5, 3, 25), (6, -1, null), (7, -1, null), (8, -1, null), (9, -1, null)) t(rank, x_id, dist)""",
+    "knn_k_gt_m": """with t(x_id, a, b) as (values (0, 0, 0), (1, 1, 0), (2, 0, 1), (3, 3, 4), (4, 0, 0)),
+ r as (select x_id, cast(a * a + b * b as float) dist, row_number() over (order by a * a + b * b, x_id) rank from t)
+ select cast(0 as bigint) q_id, cast(g as integer) rank, cast(coalesce(x_id, -1) as bigint) x_id, dist from range(1, 10) s(g) left join r on rank = g""",
     "pairwise_dist": PAIRS,
     "scan_corpus": "select vec_id x_id, cast(len(embedding) as integer) d from embeddings",
     "tile_assign": "select vec_id x_id, vec_id // 125 tile from embeddings",
     "query_groups": "select vec_id q_id, vec_id // 16 group_id from embeddings",
     "query_prefix": "select vec_id q_id from embeddings where vec_id < 100",
     "cluster_gather": "select a.vec_id q_id, a.vec_id // 16 group_id, b.label center_label from embeddings a join embeddings b on a.vec_id // 16 = b.vec_id",
+    "gen_gaussian": f"select i x_id, {generate.vector_sql(42, 'i', 8)} x_vec from range(1000) t(i)",
+    "gen_clustered": f"""select q_id, group_id, list_transform(generate_series(1, 8), lambda j: cast(center[j] + noise[j] as float)) q_vec
+ from (select i q_id, i // 16 group_id, {generate.vector_sql(43, '(i // 16)', 8)} center, {generate.vector_sql(44, 'i', 8, 0.05)} noise from range(1000) t(i))""",
     "bench_throughput": f"select src, pos, ms / n ms_per_query, n / (ms * 1e-3) queries_per_second from {BENCH}",
     "bench_mean_std": _STATS,
     "bench_qps_error": f"select variant, n, k, n / (mean_query_ms * 1e-3) mean_queries_per_second, n * std_query_ms / (mean_query_ms * mean_query_ms * 1e-3) std_queries_per_second from ({_STATS})",
@@ -130,4 +152,7 @@ ORACLE: dict[str, str] = {
     "compare_full_outer": f"""select coalesce(a.k, b.k) k, coalesce(a.n, b.n) n, a.ms base_ms, b.ms tiled_ms
  from (select * from {BENCH} where src = 0 and variant = 'baseline') a full join (select * from {BENCH} where variant = 'tiled') b on a.k = b.k and a.n = b.n""",
     "panel_filter": f"select * from {BENCH} where k in (2, 64)",
+    "json_results": f"select src, pos, variant, cast(n as bigint) n, cast(k as bigint) k, ms, recall from {BENCH}",
+    "json_meta": "select cast(1000 as bigint) m, cast(8 as bigint) d",
+    "json_failures": "select cast(src as integer) src, 'q2' as variant, cast(5 as bigint) n, cast(src as bigint) k, 'ValueError: no' as error from range(2) t(src)",
 }
