@@ -14,7 +14,9 @@ def test_charts_from_reports(spark, tmp_path):
     both = reports.read_results(spark, [f"{tmp_path}/a.json", f"{tmp_path}/b.json"])
     assert charts.k_sweep(both) == {"k = 1": [(1000.0, 10.0, None), (2000.0, 20.0, None)], "k = 2": [(2000.0, 8.0, None)]}
     assert list(charts.variants(both)) == ["baseline", "q4", "q16"] and charts.variants(both)["baseline"] == [(1000.0, 99.0, 9.9)]
-    assert list(charts.panels(both, [2])[2]) == ["q4"]
+    assert list(charts.panels(both, [2])["k = 2"]) == ["q4"]
+    assert charts.over_k(both.where("src = 1"), 2000) == {"q4": [(2.0, 8.0, None)]}
+    assert charts.repeated(both.where("src = 0"))["q16"] == [(1.0, 20.0, 2.0)]
     one, two = (reports.read_results(spark, [f"{tmp_path}/{x}.json"]) for x in "ab")
     assert charts.compare(one.where("k = 1"), two.where("k = 1"), 2000) == {"baseline": [(1.0, 20.0, None)], "tiled": []}
     with pytest.raises(ValueError):
@@ -23,3 +25,9 @@ def test_charts_from_reports(spark, tmp_path):
     svg = ElementTree.parse(f"{tmp_path}/v.svg").getroot()
     assert sum(e.tag.endswith("polyline") for e in svg.iter()) == 3
     assert ElementTree.fromstring(chart({}, "none", "x", "y")) is not None
+    charts.main(["study", f"{tmp_path}/a.json", "--n-target", "2000", "--panel-ks", "1,2", "--out", f"{tmp_path}/k.svg", "--out-vs-n", f"{tmp_path}/n.svg"])
+    panels = ElementTree.parse(f"{tmp_path}/n.svg").getroot()
+    assert sum(e.tag.endswith("}g") for e in panels.iter()) == 2 and "m = 5" in open(f"{tmp_path}/k.svg").read()
+    for kind in ("repeat", "ksweep", "variants"):
+        charts.main([kind, f"{tmp_path}/a.json", "--out", f"{tmp_path}/{kind}.svg"])
+        assert "polyline" in open(f"{tmp_path}/{kind}.svg").read()

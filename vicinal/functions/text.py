@@ -33,3 +33,11 @@ def variant_rank(name: Column | str) -> list[Column]:
     numbered = name.rlike("^q[0-9]+$")
     group = F.when(name == "baseline", 0).when(name == "heap", 1).when(numbered, 2).otherwise(3)
     return [group, F.when(numbered, F.substring(name, 2, 18).cast("bigint")).otherwise(F.lit(0).cast("bigint")), name]
+
+
+def whole_numbers(text: str) -> list[int]:
+    """The same list on the command line: blanks dropped; an item that is no number, or an empty list, is an error."""
+    values = [int(s) for s in text.split(",") if s.strip()]
+    if not values:
+        raise ValueError("expected a comma list of whole numbers")
+    return values

@@ -77,7 +77,3 @@ def panels(rows: DataFrame, ks: list[int]) -> DataFrame:
     """Rows of the chosen k values."""
     return rows.where(F.col("k").isin(ks))
 
-
-def report_meta(reports: DataFrame) -> DataFrame:
-    """Metadata of the first file only."""
-    return reports.where(F.col("src") == 0).select("meta")
