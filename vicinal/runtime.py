@@ -108,8 +108,8 @@ def _clean_up() -> None:
             return
 
 
-def materialise(df: DataFrame, label: str = "step", outlive: bool = False) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, label: str = "step", outlive: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder (in folders by some columns) and read it back.
 
     Unlike a cached block the files outlive the executor that wrote them. They go with the scope around
     (`scratch`), or with the next outer one if they are to outlive it.
@@ -117,8 +117,9 @@ def materialise(df: DataFrame, label: str = "step", outlive: bool = False) -> Da
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vicinal/{label}-{uuid.uuid4().hex}"
     _hold(path, lambda: _delete(path), outlive)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if by else out
     _paths[out] = path
     return out
 
