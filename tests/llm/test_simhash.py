@@ -100,6 +100,20 @@ def test_edges(spark):
     assert simhash.near_duplicates(wide).columns == ["doc_id", "fingerprint", "component_id"]
     kept = simhash.keep_one(wide.where("doc_id > 0"))
     assert kept.columns == wide.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 9]
+    nulls = [(None, "same text here now"), (None, "same text here now"), (None, None), (None, ""), (5, "other words in this one"), (5, "a third text stands here"), (5, "other words in this one")]
+    kept = simhash.keep_one(spark.createDataFrame(nulls, DOCS)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept) == [(0, ""), (0, "same "), (5, "a thi"), (5, "other")]
+    assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_hot_fingerprint_is_not_shuffled(spark):
+    """A text on half of all rows: the rows are named by broadcast, and no task of a join reads them all."""
+    rows = [(i if i % 4 else None, "one and the same text here" if i % 2 else f"text number {i} of {i * i} others") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(16)
+    got = {r.fingerprint: r for r in simhash.near_duplicates(docs).groupBy("fingerprint").agg({"component_id": "max", "*": "count"}).collect()}
+    assert max(r["count(1)"] for r in got.values()) >= 10_000 and sum(r["count(1)"] for r in got.values()) == 20_000
+    assert got[f"{simhash.fingerprint(b'one and the same text here'):016x}"]["max(component_id)"] == 1
+    assert simhash.keep_one(docs).where("text = 'one and the same text here'").count() == 1
 
 
 def test_components_of_chains_and_loops(spark):

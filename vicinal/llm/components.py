@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.common import join_table
 from vicinal.runtime import materialise, release
 
 
-def _star(edges: DataFrame, both: DataFrame) -> DataFrame:
-    """Each neighbour v of u (of those rows) linked to the least of u and its neighbours."""
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return edges.join(least, edges["u"] == least["w"]).select("u", "v", "m")
+def _star(edges: DataFrame, total: int) -> DataFrame:
+    """Each neighbour v of u linked to the least of u and its neighbours. A hub's edges stay spread over tasks."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_table(edges, least, "u", "n", total).select("u", "v", "m")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,10 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = mark
         # large star: every larger neighbour points at the least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        larger = _star(both, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        larger = _star(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(larger, "large")
         # small star: every smaller neighbour, and the node itself, points at the least of them
-        hops = _star(large, large)
+        hops = _star(large, mark[0])
         small = hops.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hops.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = materialise(small, "small")
         release(e, large)

@@ -8,13 +8,13 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import golay
-from vicinal.llm.common import Batches, arrow_session, byte_rows, map_batches, utf8
+from vicinal.llm.common import FILE, ROW, Batches, byte_rows, identified, join_table, map_batches, utf8
 from vicinal.llm.components import connected_components
-from vicinal.runtime import materialise
+from vicinal.runtime import materialise, scratch
 
 #: Words of a shingle, and fingerprint bits that a link may differ in. Golay keys hold for up to 2.
 SHINGLE, DISTANCE = 3, 2
@@ -66,17 +66,18 @@ def fingerprint(data: bytes) -> int:
     return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long). Null and wordless texts have fingerprint zero."""
-    arrow_session(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and also some long columns. Null and wordless texts have fingerprint zero."""
+    names = ("doc_id", *also)
+    schema = pa.schema([(n, pa.int64()) for n in (*names, "fp")])
 
     def scan(batches: Batches) -> Batches:
         for b in batches:
             fps = np.array([fingerprint(t) for t in byte_rows(b, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fps)], schema=schema)
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text")), scan, "doc_id bigint, fp bigint")
+    own = docs.select(*(F.col(n).cast("bigint").alias(n) for n in names), utf8("text").alias("text"))
+    return map_batches(own, scan, ", ".join(f"{n} bigint" for n in (*names, "fp")))
 
 
 def bucket_keys(fps: DataFrame) -> DataFrame:
@@ -85,7 +86,6 @@ def bucket_keys(fps: DataFrame) -> DataFrame:
     Two fingerprints within 2 bits agree on some whole segment, and differ by at most 2 bits on the next:
     so they share a key.
     """
-    arrow_session(fps.sparkSession, 10_000)
     schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
     def scan(batches: Batches) -> Batches:
@@ -97,7 +97,7 @@ def bucket_keys(fps: DataFrame) -> DataFrame:
                 key = (np.int64(s) << 60) | (exact[row] << 12) | fuzzy
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], schema=schema)
 
-    return map_batches(fps.select("fp"), scan, "key bigint, fp bigint")
+    return map_batches(fps.select("fp"), scan, "key bigint, fp bigint", rows=10_000)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -128,32 +128,46 @@ def links(fps: DataFrame) -> DataFrame:
     return few.unionByName(stars).distinct()
 
 
+def _roots(distinct: DataFrame) -> DataFrame:
+    """node, root: the least linked fingerprint of every fingerprint that has a link; written out."""
+    with scratch():
+        return materialise(connected_components(links(distinct)), "roots", outlive=True)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links).
 
     Repeated rows and equal texts share a fingerprint. A null doc_id belongs to its component but never
-    names it; a component of null ids alone has a null component_id. No rows give no rows.
+    names it; a component of null ids alone has a null component_id. No rows give no rows. A fingerprint may
+    be that of a third of all rows: they are counted before any shuffle and named by a broadcast look-up.
     """
-    fps = materialise(fingerprints(docs), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = materialise(connected_components(links(distinct)), "roots")
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    root = F.coalesce("root", "fp")
-    grouped = linked.where("root is not null").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = roots.join(grouped, "root").select(F.col("node").alias("fp"), "component_id")
-    lookup = linked.select("fp", "least_id", root.alias("root")).join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    # as a table of its own, so that both sides are shuffled and AQE may split the documents of a hot fingerprint
-    return fps.join(materialise(lookup, "lookup"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch():
+        fps = materialise(fingerprints(docs), "fingerprints", outlive=True)
+        distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+        roots = _roots(distinct).withColumnRenamed("node", "fp")
+        rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        named = rooted.join(roots.select("fp"), "fp", "left_semi").groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+        nodes = distinct.agg(F.count("*"), F.sum("n")).first()
+        linked = join_table(roots.join(distinct.select("fp", F.col("n").alias("rows")), "fp"), materialise(named, "named"), "root", "n", nodes[0]).select("fp", "component_id", F.col("rows").alias("n"))
+        alone = distinct.join(roots, "fp", "left_anti").select("fp", F.col("least_id").alias("component_id"), "n")
+        lookup = materialise(linked.unionByName(alone), "lookup", outlive=True)
+    rows = join_table(fps, lookup, "fp", "n", nodes[1] or 0)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents with one of each component left: that of the least doc_id.
+    """Documents with one row of each component left: that of the least doc_id (null last), then of the least text hash.
 
-    A doc_id names one document: of repeated rows that of the least text checksum stays, also where their
-    texts differ. Rows with a null doc_id have nothing to be joined by and stay as they are.
+    Rows are told apart by where they lie, so null and repeated ids are deduplicated like any others, and
+    different texts of one id stay unless their fingerprints link. Only keys of rows are grouped, and texts
+    are shuffled once, by distinct keys.
     """
-    named = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    gone = named.where("not first").select(F.col("doc_id").alias("__vicinal_gone"))
-    nth = F.row_number().over(Window.partitionBy("__vicinal_key").orderBy(F.crc32(utf8("text")), F.xxhash64("text")))
-    marked = docs.withColumn("__vicinal_key", F.col("doc_id")).join(gone, F.col("__vicinal_key") == F.col("__vicinal_gone"), "left_anti")
-    return marked.withColumn("__vicinal_nth", nth).where("__vicinal_nth = 1 or __vicinal_key is null").select(*docs.columns)
+    rows = identified(docs)
+    with scratch():
+        light = rows.withColumn("__vicinal_hash", F.xxhash64("text"))
+        fps = materialise(fingerprints(light, FILE, ROW, "__vicinal_hash"), "fingerprints")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__vicinal_hash", FILE, ROW)).alias("first")
+        distinct = materialise(fps.groupBy("fp").agg(first), "distinct")
+        rooted = distinct.join(_roots(distinct), F.col("fp") == F.col("node"), "left")
+        kept = materialise(rooted.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(f"first.{FILE}", f"first.{ROW}"), "kept", outlive=True)
+    return rows.join(kept, [FILE, ROW], "left_semi").select(*docs.columns)
