@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 from fractions import Fraction
 
@@ -80,3 +81,24 @@ def test_edges(spark, monkeypatch):
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in got)
     assert M.mix(docs.limit(0)).count() == 0 and M.apply_mix(docs.limit(0)).count() == 0
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)  # the plan for very many sources
+    assert sorted(map(repr, M.mix(docs).collect())) == sorted(map(repr, got))
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_one_id_on_all_rows(spark, tmp_path, doc_id):
+    """100,000 rows of one id, half of them alike: copies are right, reruns agree, and time is as for distinct ids."""
+    rows = [(doc_id, "w " * (1 + i % 9) + ("" if i % 2 else str(i)), f"s{i % 3}") for i in range(100_000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    t = time.perf_counter()
+    taken = defaultdict(int)
+    for r in M.apply_mix(docs).groupBy("source", M.word_count().alias("size")).count().collect():
+        taken[r.source] += r["size"] * r["count"]
+    assert time.perf_counter() - t < 60
+    mixed = M.mix(docs)
+    goal = {r.target for r in mixed.select("target").distinct().collect()}
+    assert len(goal) == 3 and all(min(abs(t - g) for g in goal) <= 0.001 * t for t in taken.values())
+    docs.repartition(3).write.parquet(f"{tmp_path}/again")
+    count = lambda df: sorted(map(tuple, df.groupBy("size", "target", "taken").count().collect()))
+    assert count(mixed) == count(M.mix(spark.read.parquet(f"{tmp_path}/again")))

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import arrow_session, utf8
-from vicinal.runtime import materialise
+from vicinal.llm.common import FILE, ROW, identified, numbered
+from vicinal.runtime import ensure_importable, materialise, release
 
 #: Weights of the sources in code-point order, repeating; the mix's share of all words; most times a source is taken.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Units of one flight block, and units left for the landing problem of a source.
-BLOCK, LANDING = 1000, 12
+BLOCK, LANDING = 1000, 16
 WORD = r"[^\x20\x09-\x0D]+"
-UNITS = "unit bigint, doc_id bigint, source_no int, size bigint, nth int, base int, p double"
+UNITS = f"unit bigint, {FILE} bigint, {ROW} bigint, doc_id bigint, source_no int, size bigint, base int, p double"
 EPS = 1e-9
+#: Sources up to which their table (under 100 bytes each) is broadcast; beyond, Spark chooses the join.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -34,18 +35,16 @@ def targets(sizes: list[float], weights: list[float], share: float = SHARE, most
     What is above goes to the other sources by weight, until none is above. Where every source is at its
     most, the mix stays below its share.
     """
-    total, out, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
-    while open_:
-        left = total - sum(out[i] for i in range(len(sizes)) if i not in open_)
-        weight = sum(weights[i] for i in sorted(open_))
-        over = {i for i in open_ if left * weights[i] / weight >= most * sizes[i]}
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / weight
+    left, out = share * sum(sizes), [0.0] * len(sizes)
+    weight = sum(weights)
+    order = sorted(range(len(sizes)), key=lambda i: (sizes[i] / weights[i], i))  # in this order sources reach their most
+    for at, i in enumerate(order):
+        if left * weights[i] / weight < most * sizes[i]:
+            for j in order[at:]:
+                out[j] = left * weights[j] / weight
             break
-        for i in over:
-            out[i] = most * sizes[i]
-        open_ -= over
+        out[i] = most * sizes[i]
+        left, weight = left - out[i], weight - weights[i]
     return out
 
 
@@ -97,7 +96,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     at = [i for i, x in enumerate(p) if 0 < x < 1]
     if not at:
         return p
-    choice = np.array(list(product((0.0, 1.0), repeat=len(at))))
+    choice = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))[::-1] & 1).astype(float)
     off = np.abs((choice - p[at]) @ size[at].astype(float))
     number = np.abs((choice - p[at]).sum(1))
     best = np.lexsort((number, np.round(off, 6)))[0]
@@ -110,7 +109,7 @@ def _flyer(level: int, last: set[int]) -> Callable[[pd.DataFrame], pd.DataFrame]
     """Flight of one block, and the landing too where it is its source's last."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["unit", "doc_id", "size", "nth"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["unit", "doc_id", "size"], kind="stable").reset_index(drop=True)
         k, block = int(pdf["source_no"].iloc[0]), int(pdf["block"].iloc[0])
         rng = np.random.default_rng(zlib.crc32(f"{k}/{block}/{level}".encode()))
         p, size = pdf["p"].to_numpy(), pdf["size"].to_numpy()
@@ -121,6 +120,10 @@ def _flyer(level: int, last: set[int]) -> Callable[[pd.DataFrame], pd.DataFrame]
     return fly
 
 
+def _with_source(df: DataFrame, table: DataFrame, sources: int, on: str | Column) -> DataFrame:
+    return df.join(F.broadcast(table) if sources <= BROADCAST_SOURCES else table, on)
+
+
 def sample(units: DataFrame, rows: dict[int, int]) -> DataFrame:
     """Settles every unit's p to 0 or 1. rows: number of units of each source.
 
@@ -130,18 +133,14 @@ def sample(units: DataFrame, rows: dict[int, int]) -> DataFrame:
     """
     if not rows:
         return units
+    ensure_importable(units.sparkSession)
     done, level, pend = None, 0, units
     while True:
         blocks = {k: max(1, -(-n // BLOCK)) for k, n in rows.items()}
         last = {k for k, b in blocks.items() if b == 1}
-
-        table = F.create_map(*(F.lit(v) for kb in blocks.items() for v in kb)) if len(blocks) <= 500 else None
-        if table is not None:
-            dealt = pend.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "unit"), table[F.col("source_no")]))
-        else:
-            sizes = units.sparkSession.createDataFrame(list(blocks.items()), "source_no int, n_blocks int")
-            dealt = pend.join(sizes, "source_no").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "unit"), F.col("n_blocks"))).drop("n_blocks")
-        flown = materialise(dealt.groupBy("source_no", "block").applyInPandas(_flyer(level, last), UNITS), "flight")
+        sizes = units.sparkSession.createDataFrame(list(blocks.items()), "source_no int, n_blocks int")
+        dealt = _with_source(pend, sizes, len(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "unit"), F.col("n_blocks"))).drop("n_blocks")
+        flown = materialise(dealt.select(*units.columns, "block").groupBy("source_no", "block").applyInPandas(_flyer(level, last), UNITS), "flight")
         settled = flown.where("p = 0 or p = 1")
         done = settled if done is None else done.unionByName(settled)
         pend = flown.where("p > 0 and p < 1")
@@ -151,30 +150,28 @@ def sample(units: DataFrame, rows: dict[int, int]) -> DataFrame:
         level += 1
 
 
-def document_key() -> Column:
-    """doc_id with a value for null, so that plain equality and one partitioning hold throughout."""
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+def units_of(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """FILE, ROW, doc_id, source, size and unit of identified rows.
 
+    The unit is a hash of all columns and of the row's number among rows alike in all of them: so draws
+    depend on what the rows hold alone, and rows that are alike may stand for each other.
+    """
+    key = F.xxhash64(*columns).alias("key")
+    light = rows.select(FILE, ROW, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), key)
+    light = materialise(light, "light")
+    out = materialise(numbered(light, "key").withColumn("unit", F.xxhash64("key", "nth")).drop("key", "nth"), "units")
+    release(light)
+    return out
 
-def units_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and nth: the number of the row among repeats of its doc_id."""
-    light = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), F.crc32(utf8()).alias("crc"))
-    return light.withColumn("nth", F.row_number().over(Window.partitionBy(document_key()).orderBy("source", "size", "crc"))).drop("crc")
 
+def _hashable(docs: DataFrame) -> list[str]:
+    """The columns by which rows are alike or not: all but maps, which Spark can't hash."""
+    return [f.name for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, nth of every document.
 
-    size counts words (null text: 0), target is the number of words the mix takes from the source. Each
-    document is taken floor(target / source_size) times, and once more by a balanced sample with the
-    remainder as probability, so that no source misses its target by more than a landing error. A null
-    source is a source of its own, ordered last. Repeated rows are units of their own; empty texts take
-    part in the count but add no words. No rows give no rows. The draws depend on the rows alone. What the
-    driver holds is one row for each source.
-    """
-    spark = docs.sparkSession
-    arrow_session(spark, 10_000)
-    light = materialise(units_of(docs), "units")
+def _settled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """FILE, ROW, doc_id, size, source_size, target, copies of identified rows."""
+    light = units_of(rows, columns)
     stats = light.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
     stats = sorted(stats, key=lambda r: (r["source"] is None, r["source"] or ""))
     want = targets([r["words"] for r in stats], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(stats))])
@@ -183,26 +180,36 @@ def mix(docs: DataFrame) -> DataFrame:
         ratio = t / r["words"] if r["words"] else 0.0
         base = int(ratio + EPS)
         known.append((r["source"], i, int(r["words"]), float(t), base, min(1.0, max(0.0, ratio - base))))
-    sources = spark.createDataFrame(known, "source string, source_no int, source_size bigint, target double, base int, p double")
-    joined = light.join(F.broadcast(sources) if len(known) <= 10_000 else sources, light["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    units = joined.select(F.xxhash64("doc_id", "nth").alias("unit"), *(c.split()[0] for c in UNITS.split(", ")[1:]))
-    settled = sample(units, {i: r["rows"] for i, r in enumerate(stats)})
-    by_no = sources.select("source_no", "source_size", "target")
-    out = settled.join(F.broadcast(by_no) if len(known) <= 10_000 else by_no, "source_no")
-    copies = (F.col("base") + F.col("p").cast("int")).alias("copies")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies, "nth")
+    sources = light.sparkSession.createDataFrame(known, "source string, source_no int, source_size bigint, target double, base int, p double")
+    joined = _with_source(light, sources, len(known), light["source"].eqNullSafe(sources["source"]))
+    settled = sample(joined.select(*(c.split()[0] for c in UNITS.split(", "))), {i: r["rows"] for i, r in enumerate(stats)})
+    if known:
+        release(light)
+    out = _with_source(settled, sources.select("source_no", "source_size", "target"), len(known), "source_no")
+    return out.withColumn("copies", F.col("base") + F.col("p").cast("int"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of every document.
+
+    size counts words (null text: 0), target is the number of words the mix takes from the source. Each
+    document is taken floor(target / source_size) times, and once more by a balanced sample with the
+    remainder as probability, so that no source misses its target by more than a landing error. A null
+    source is a source of its own, ordered last. Repeated rows are units of their own; empty texts take
+    part in the count but add no words. No rows give no rows. The draws depend on the rows alone. What the
+    driver holds is one row for each source.
+    """
+    settled = _settled(identified(docs), _hashable(docs))
+    return settled.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
     """Documents as the mix takes them: each as many times as it has copies, with all columns.
 
-    Rows that repeat a doc_id are told apart by the same order as in units_of.
+    Rows meet their copies by where they lie, so one id, or null ids, on a third of all rows make no hot
+    key; texts are shuffled once.
     """
-    copies = materialise(mix(docs).where("copies > 0").select(document_key().alias("__vicinal_id"), F.col("nth").alias("__vicinal_nth"), F.col("copies").alias("__vicinal_copies")), "copies")
-    order = (F.col("source").cast("string"), word_count(), F.crc32(utf8()))
-    marked = docs.withColumn("__vicinal_key", document_key())
-    marked = marked.withColumn("__vicinal_row", F.row_number().over(Window.partitionBy("__vicinal_key").orderBy(*order)))
-    # the row's number is compared by a range, so that the join is by the key alone and texts are shuffled once
-    same = (marked["__vicinal_key"] == copies["__vicinal_id"]) & marked["__vicinal_row"].between(copies["__vicinal_nth"], copies["__vicinal_nth"])
-    taken = marked.join(copies, same).withColumn("__vicinal_copy", F.explode(F.sequence(F.lit(1), F.col("__vicinal_copies"))))
+    rows = identified(docs)
+    copies = materialise(_settled(rows, _hashable(docs)).where("copies > 0").select(FILE, ROW, F.col("copies").alias("__vicinal_copies")), "copies")
+    taken = rows.join(copies, [FILE, ROW]).withColumn("__vicinal_copy", F.explode(F.sequence(F.lit(1), F.col("__vicinal_copies"))))
     return taken.select(*docs.columns)
