@@ -64,12 +64,12 @@ def test_general_frames_decode(restart):
     coefs[3, 1:] = 0
     quant = rng.integers(1, 9, 64).tolist()
     got, pixels = jpeg.decode([natural_jpeg(coefs, quant, restart)])
-    assert (got[0] == coefs).all() and pixels.shape == (1, 60, 64)
+    assert (got[0] == coefs).all() and pixels[0].shape == (60, 64)
     block = np.zeros(64)
     block[jpeg.ZIGZAG] = coefs[9] * np.array(quant)
     c = block.reshape(8, 8)
     want = [[sum(c[u, v] * (0.5 if u else 0.125**0.5) * (0.5 if v else 0.125**0.5) * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) for x in range(8)] for y in range(8)]
-    assert np.abs(pixels[0, 8:16, 8:16] - np.clip(np.array(want) + 128, 0, 255)).max() <= 1
+    assert np.abs(pixels[0][8:16, 8:16] - np.clip(np.array(want) + 128, 0, 255)).max() <= 1
 
 
 def test_carrier_is_lossless_and_both_decoders_agree():
@@ -81,7 +81,7 @@ def test_carrier_is_lossless_and_both_decoders_agree():
         assert size == n and payload[:n] == text and len(payload) == max(64, -(-n // 64) * 64) and not any(payload[n:])
         f = parsed.frames[-1]
         h = jpeg.parse_header(f[: f.find(b"\xff\xda") + 10])
-        assert (jpeg._decode_scan(h, f[h.scan :]) == jpeg.decode([f])[0][0]).all()
+        assert (jpeg._decode_scan(h, f[h.scan :])[0].reshape(-1, 64) == jpeg.decode([f])[0][0]).all()
         assert shots[0][0] == 0 and shots[-1][1] == len(parsed.frames)
 
 
@@ -102,6 +102,83 @@ def test_shots_are_found():
     assert len(avi.read_avi(media[:cut]).frames) == 24  # without an index
 
 
+def colour_jpeg(planes):
+    """A YCbCr frame of 16 x 16 units (4:2:0) with flat blocks, coded with the default tables, which it doesn't hold.
+
+    planes: level of each block, as (rows, columns) arrays; luminance twice as many each way as chrominance.
+    """
+    tables = jpeg.default_tables()
+    code = {}
+    for k, t in tables.items():
+        at, c = 0, 0
+        for n, count in enumerate(t.counts, 1):
+            for _ in range(count):
+                code[k, t.symbols[at]] = format(c, f"0{n}b")
+                at, c = at + 1, c + 1
+            c <<= 1
+    bits, pred = "", [0, 0, 0]
+    rows, cols = planes[1].shape
+    for y in range(rows):
+        for x in range(cols):
+            for c, plane in enumerate(planes):
+                f = 2 if c == 0 else 1
+                for i in range(f):
+                    for j in range(f):
+                        v = int(plane[y * f + i, x * f + j])
+                        d, pred[c] = v - pred[c], v
+                        s = abs(d).bit_length()
+                        bits += code[int(c > 0), s] + (format(d if d > 0 else d + (1 << s) - 1, f"0{s}b") if s else "") + code[0x10 | (c > 0), 0x00]
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    seg = jpeg._segment
+    head = jpeg.SOI + seg(0xDB, b"\0" + b"\x08" * 64) + seg(0xC0, struct.pack(">BHHB", 8, rows * 16, cols * 16, 3) + b"\1\x22\0\2\x11\0\3\x11\0")
+    return head + seg(0xDA, b"\3\1\0\2\x11\3\x11\0\x3f\0") + scan + jpeg.EOI
+
+
+def test_colour_frames_without_tables():
+    rng = np.random.default_rng(4)
+    planes = [rng.integers(-100, 100, (4, 6)), rng.integers(-100, 100, (2, 3)), rng.integers(-100, 100, (2, 3))]
+    frame = colour_jpeg(planes)
+    got = jpeg.planes(frame)
+    for plane, p, size in zip(got, planes, (8, 16, 16), strict=True):
+        assert plane.shape == (32, 48)
+        assert (plane == np.repeat(np.repeat(p + 128, size, 0), size, 1)).all()
+    y, b, r = (x[0, 0].astype(float) for x in got)
+    want = np.clip([y + 1.402 * (r - 128), y - 0.344136 * (b - 128) - 0.714136 * (r - 128), y + 1.772 * (b - 128)], 0, 255)
+    assert np.abs(jpeg.rgb(frame)[0, 0] - want).max() <= 1
+    assert (jpeg.decode([frame])[1][0] == got[0]).all()
+    with pytest.raises(ValueError):
+        jpeg.decode([frame.replace(struct.pack(">HH", 32, 48), b"\xff\xff\xff\xff", 1)])
+
+
+def test_open_dml_parts_and_index():
+    """A second RIFF part with more frames, found by the index of indexes, or without any by walking the lists."""
+    frames = [colour_jpeg([np.full((2, 2), v), np.zeros((1, 1)), np.zeros((1, 1))]) for v in (-50, -50, -50, 40, 40, 40)]
+    first = avi.write_avi(frames[:3], 16, 16)
+    body = b"".join(avi._chunk(b"00dc", f) for f in frames[3:])
+    more = avi._chunk(b"RIFF", b"AVIX" + avi._chunk(b"LIST", b"movi" + body))
+    assert avi.read_avi(first + more).frames == frames
+    data, places = first + more, []
+    at = 0
+    for f in frames:
+        at = data.index(f, at)
+        places.append((at, len(f)))
+    chunk = struct.pack("<HBBI4sQI", 2, 0, 1, 6, b"00dc", 0, 0) + b"".join(struct.pack("<II", p, n) for p, n in places)
+    # the index of indexes goes into the header list, where it moves everything behind it
+    strf = data.index(b"strf")
+    grown = 8 + 24 + 16
+    shifted = struct.pack("<HBBI4sQI", 2, 0, 1, 6, b"00dc", grown, 0) + chunk[24:]
+    ix = avi._chunk(b"ix00", shifted)
+    indx = avi._chunk(b"indx", struct.pack("<HBBI4s12x", 4, 0, 0, 1, b"00dc") + struct.pack("<QII", len(data) + grown, len(ix), 6))
+    out = bytearray(data[:strf] + indx + data[strf:])
+    for name in (b"RIFF", b"hdrl", b"strl"):
+        k = out.index(name) + 4 if name == b"RIFF" else out.index(name) - 4
+        out[k : k + 4] = struct.pack("<I", struct.unpack_from("<I", out, k)[0] + grown)
+    whole = bytes(out) + ix
+    assert len(indx) == grown and avi.read_avi(whole).frames == frames
+    assert avi.analyse(whole)[1] == [(0, 3), (3, 6)]
+
+
 def test_damage_is_an_error():
     media = avi.store(b"text")
     for bad in (b"", b"RIFFxxxxWAVE", media[:40], media.replace(b"payload=64", b"payload=99999", 1)):
@@ -127,4 +204,8 @@ def test_clips_and_edges(spark):
     clips = avi.clips(avi.stored(docs)).collect()
     assert sum(r.n_frames for r in clips if r.doc_id == 3) == 586 and all(r.end_s > r.start_s for r in clips)
     assert sorted(r.first_frame for r in clips if r.doc_id is None)[0] == 0
-    assert avi.digests(docs.limit(0)).count() == 0
+    assert avi.digests(docs.limit(0)).count() == 0 and avi.clips(avi.stored(docs).limit(0)).count() == 0
+    good = avi.store(b"x" * 3000)
+    bad = spark.createDataFrame([(1, None), (2, b""), (3, b"no avi"), (4, bytearray(good[:700])), (5, bytearray(good)), (5, bytearray(good))], "doc_id int, media binary")
+    rows = avi.clips(bad).collect()
+    assert {(r.doc_id, r.clip is None, r.error is None) for r in rows} == {(3, True, False), (4, True, False), (5, False, True)}

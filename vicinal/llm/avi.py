@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import jpeg
-from vicinal.llm.common import Batches, arrow_session, byte_rows, crc32, map_batches, record_batch, utf8
+from vicinal.llm.common import Batches, byte_rows, crc32, map_batches, record_batch, utf8
 
 UNIT = 64
 FPS = 25
@@ -52,60 +52,114 @@ class Avi:
     frames: list[bytes]
 
 
+def _lists(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """(kind, body, end) of every chunk outside the movi lists, and of those lists as such, in all RIFF parts of a file."""
+    part = 0
+    while part + 12 <= len(data) and data[part : part + 4] == b"RIFF":
+        size = struct.unpack_from("<I", data, part + 4)[0]
+        stack = [(part + 12, min(len(data), part + 8 + size))]
+        while stack:
+            at, end = stack.pop()
+            while at + 8 <= end:
+                kind, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+                body, stop = at + 8, min(at + 8 + n, end)
+                if kind == b"LIST" and data[body : body + 4] != b"movi":
+                    stack.append((body + 4, stop))
+                else:
+                    yield data[body : body + 4] if kind == b"LIST" else kind, body, stop
+                at = body + n + n % 2
+        part += 8 + size + size % 2
+
+
+def _walked(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """The frames of a movi list, record lists included, as they lie."""
+    while at + 8 <= end:
+        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if kind == b"LIST":
+            yield from _walked(data, at + 12, min(at + 8 + size, end))
+        elif kind[2:] in (b"dc", b"db") and size:
+            yield data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+
+
+def _super_index(data: bytes, body: int, end: int) -> Iterator[bytes]:
+    """The frames of an OpenDML index: a list of index chunks, each a list of places and sizes; or one such chunk."""
+    longs, _, kind, used = struct.unpack_from("<HBBI", data, body)
+    if kind == 0 and longs == 4:
+        for k in range(used):
+            at, size = struct.unpack_from("<QI", data, body + 24 + 16 * k)
+            yield from _super_index(data, at + 8, min(len(data), at + size))
+    elif kind == 1 and longs == 2:
+        base = struct.unpack_from("<Q", data, body + 12)[0]
+        for k in range(used):
+            at, size = struct.unpack_from("<II", data, body + 24 + 8 * k)
+            if size & 0x7FFFFFFF:
+                yield data[base + at : base + at + (size & 0x7FFFFFFF)]
+    else:
+        raise ValueError("unknown index")
+
+
+def _old_index(data: bytes, body: int, end: int, movi: int) -> Iterator[bytes]:
+    """The frames of an idx1 index."""
+    for k in range((end - body) // 16):
+        kind, _, at, size = struct.unpack_from("<4sIII", data, body + 16 * k)
+        if kind[2:] not in (b"dc", b"db") or not size:
+            continue
+        at = movi + at if data[movi + at : movi + at + 4] == kind else at  # some writers count from the file's start
+        if data[at : at + 4] != kind:
+            raise ValueError("index points at no frame")
+        yield data[at + 8 : at + 8 + size]
+
+
 def read_avi(data: bytes) -> Avi:
-    """Parses a RIFF AVI file; frames come from its idx1 index, or where that is missing from the movi list."""
+    """Parses a RIFF AVI file, OpenDML parts included.
+
+    Frames come from the OpenDML index of the video stream, else from idx1 if the file is one RIFF part, else
+    from the movi lists as they lie. Anything that is no such file is a ValueError.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    fps, width, height, note, movi, index = 0.0, 0, 0, "", None, None
-    stack = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
-    while stack:
-        at, end = stack.pop()
-        while at + 8 <= end:
-            kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            body = at + 8
-            if kind == b"LIST":
-                if data[body : body + 4] == b"movi":
-                    movi = body, min(body + size, len(data))
-                else:
-                    stack.append((body + 4, min(body + size, end)))
+    fps, width, height, note, movi, index, super_index, video = 0.0, 0, 0, "", [], None, None, False
+    try:
+        for kind, body, end in _lists(data):
+            if kind == b"movi":
+                movi.append((body, end))
             elif kind == b"avih":
                 us, width, height = struct.unpack_from("<I", data, body)[0], *struct.unpack_from("<II", data, body + 32)
                 fps = 1e6 / us if us else 0.0
-            elif kind == b"strh" and data[body : body + 4] == b"vids":
-                scale, rate = struct.unpack_from("<II", data, body + 20)
-                fps = rate / scale if scale else fps
+            elif kind == b"strh":
+                video = data[body : body + 4] == b"vids"
+                if video:
+                    scale, rate = struct.unpack_from("<II", data, body + 20)
+                    fps = rate / scale if scale else fps
+            elif kind == b"indx" and video:
+                super_index = body, end
             elif kind == b"ICMT":
-                note = data[body : body + size].rstrip(b"\0").decode()
-            elif kind == b"idx1":
-                index = body, size
-            at = body + size + size % 2
-    if movi is None:
-        raise ValueError("no movi list")
-    frames = []
-    if index:
-        for k in range(index[1] // 16):
-            kind, _, at, size = struct.unpack_from("<4sIII", data, index[0] + 16 * k)
-            if kind[2:] != b"dc" or not size:
-                continue
-            at = movi[0] + at if data[movi[0] + at : movi[0] + at + 4] == kind else at  # some writers count from the file's start
-            if data[at : at + 4] != kind:
-                raise ValueError("index points at no frame")
-            frames.append(data[at + 8 : at + 8 + size])
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
-            kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if kind[2:] == b"dc" and size:
-                frames.append(data[at + 8 : at + 8 + size])
-            at += 8 + size + size % 2
+                note = data[body:end].rstrip(b"\0").decode(errors="replace")
+            elif kind == b"idx1" and index is None:
+                index = body, end
+        if not movi:
+            raise ValueError("no movi list")
+        if super_index:
+            frames = list(_super_index(data, *super_index))
+        elif index and len(movi) == 1:
+            frames = list(_old_index(data, *index, movi[0][0]))
+        else:
+            frames = [f for body, end in movi for f in _walked(data, body + 4, end)]
+    except (struct.error, RecursionError) as e:
+        raise ValueError("file is cut short") from e
     return Avi(fps, width, height, note, frames)
 
 
-def histograms(pixels: np.ndarray) -> np.ndarray:
+def histograms(pixels: list[np.ndarray]) -> np.ndarray:
     """Share of the pixels in each of BINS grey bands, for each frame."""
-    n = len(pixels)
-    flat = (pixels.reshape(n, -1).astype(np.int64) * BINS >> 8) + np.arange(n)[:, None] * BINS
-    return np.bincount(flat.ravel(), minlength=n * BINS).reshape(n, BINS) / max(1, flat.shape[1])
+    out = np.zeros((len(pixels), BINS))
+    same = len({p.shape for p in pixels}) == 1
+    for at, some in [(slice(None), np.stack(pixels))] if same else [(slice(i, i + 1), p[None]) for i, p in enumerate(pixels)]:
+        n = len(some)
+        flat = (some.reshape(n, -1).astype(np.int64) * BINS >> 8) + np.arange(n)[:, None] * BINS
+        out[at] = np.bincount(flat.ravel(), minlength=n * BINS).reshape(n, BINS) / max(1, flat.shape[1])
+    return out
 
 
 def cuts(hist: np.ndarray) -> np.ndarray:
@@ -123,13 +177,14 @@ def cuts(hist: np.ndarray) -> np.ndarray:
     return np.flatnonzero((d >= LEAST_CUT) & (d > mean + DEVIATIONS * np.sqrt(var)) & (d >= filled.max(1))) + 1
 
 
-def analyse(media: bytes) -> tuple[bytes, list[tuple[int, int]], Avi, np.ndarray]:
+def analyse(media: bytes, with_bytes: bool = False) -> tuple[bytes, list[tuple[int, int]], Avi, np.ndarray]:
     """(bytes in the coefficients, shots as first and one-past-last frame, the file, histograms) of an AVI column value."""
     avi = read_avi(media)
     carried, hist = [], []
     for a in range(0, len(avi.frames), FRAMES_AT_ONCE):
         coefs, pixels = jpeg.decode(avi.frames[a : a + FRAMES_AT_ONCE])
-        carried.append(jpeg.carried_bytes(coefs))
+        if with_bytes:
+            carried.append(jpeg.carried_bytes(coefs))
         hist.append(histograms(pixels))
     h = np.concatenate(hist) if hist else np.zeros((0, BINS))
     edges = [0, *cuts(h).tolist(), len(h)] if len(h) else []
@@ -146,7 +201,7 @@ def store(text: bytes) -> bytes:
 
 def load(media: bytes) -> tuple[bytes, int, list[tuple[int, int]], Avi, np.ndarray]:
     """(payload, text bytes, shots, file, histograms) of a stored text."""
-    carried, shots, avi, h = analyse(media)
+    carried, shots, avi, h = analyse(media, with_bytes=True)
     size, n = (int(x.split("=")[1]) for x in avi.note.split())
     if len(carried) < size or any(carried[size:]):
         raise ValueError("frames don't hold the payload that the file states")
@@ -154,33 +209,43 @@ def load(media: bytes) -> tuple[bytes, int, list[tuple[int, int]], Avi, np.ndarr
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, media: every whole text as an AVI column; null as the empty text."""
-    arrow_session(docs.sparkSession, 500)
+    """doc_id, media: every whole text as an AVI column; null as the empty text.
+
+    A medium is twice its text and a cell of a column holds at most 2 GB, so texts of over 1 GB are an error.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
 
     def scan(batches: Batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([store(t) for t in byte_rows(b, "text")], pa.binary())], schema=schema)
 
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text")), scan, "doc_id bigint, media binary")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text")), scan, "doc_id bigint, media binary", rows=500, size=4 << 20)
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """doc_id, clip, first_frame, n_frames, start_s, end_s: one timed row for each shot of an AVI column."""
-    arrow_session(media.sparkSession, 500)
-    schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())])
+    """doc_id, clip, first_frame, n_frames, start_s, end_s, error: one timed row for each shot of an AVI column.
+
+    Null and empty media, and files without frames, give no rows. A damaged or unsupported file gives one row
+    with the reason in error and nulls in the other columns; in all others error is null.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("error", pa.string())])
 
     def scan(batches: Batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, m in zip(b.column("doc_id").to_pylist(), byte_rows(b, "media"), strict=True):
                 if m:
-                    _, shots, avi, _ = analyse(m)
+                    try:
+                        _, shots, avi, _ = analyse(m)
+                    except (ValueError, struct.error, IndexError) as e:
+                        rows.append((i, None, None, None, None, None, str(e)))
+                        continue
                     fps = avi.fps or FPS
-                    rows += [(i, k, s, e - s, s / fps, e / fps) for k, (s, e) in enumerate(shots)]
+                    rows += [(i, k, s, e - s, s / fps, e / fps, None) for k, (s, e) in enumerate(shots)]
             yield record_batch(schema, {f.name: [r[k] for r in rows] for k, f in enumerate(schema)})
 
-    return map_batches(media.select("doc_id", "media"), scan, "doc_id bigint, clip int, first_frame int, n_frames int, start_s double, end_s double")
+    own = media.select(F.col("doc_id").cast("bigint").alias("doc_id"), "media")
+    return map_batches(own, scan, "doc_id bigint, clip int, first_frame int, n_frames int, start_s double, end_s double, error string", rows=500)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -202,4 +267,4 @@ def digests(docs: DataFrame) -> DataFrame:
                     out[f.name].append(v)
             yield record_batch(schema, out)
 
-    return map_batches(stored(docs), scan, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return map_batches(stored(docs), scan, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", rows=500)
