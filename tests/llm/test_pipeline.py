@@ -1,13 +1,20 @@
+import os
+from collections import Counter
+
+import pytest
+
 import corpus_pipeline
 from tests.compare import SF
 from vicinal.llm import decontaminate, mixing, simhash
+from vicinal.llm.catalog import QUERIES
+from vicinal.runtime import materialise, scratch, shared_dir
 
 
 def test_stages_take_effect_and_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, corpus_pipeline.materialise(stage(spark, docs, SF), "test")
+        before, docs = docs, materialise(stage(spark, docs, SF), "test")
         seen[name] = (before, docs)
         if name != "sharding":
             assert docs.columns == before.columns
@@ -24,3 +31,74 @@ def test_stages_take_effect_and_keep_columns(spark):
     assert after.columns == [*before.columns, "shard"] and after.count() == before.count()
     assert seen["language id"][1].count() >= 0.99 * seen["language id"][0].count()
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def tables(spark, folder, rows, extra=""):
+    docs = spark.createDataFrame(rows, DOCS + extra)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "which of the seven rivers flows north through the old town"), (2, None), (None, "")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def prose(k, lang="en"):
+    """Texts that differ in most words."""
+    words = {"en": "the river and a house of stone with many old trees near this quiet road", "de": "der Fluss und ein Haus aus Stein mit vielen alten Bäumen an dieser ruhigen Straße"}[lang].split()
+    return " ".join(f"{words[(k * 7 + i) % len(words)]} {'abcdefghij'[(k // 10 ** (i % 5)) % 10] * 3}{words[(k + i * i) % len(words)]}" for i in range(30))
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """A third of the rows under one id, a third under null ids, copies among both; helper names taken by users' columns."""
+    rows = [(i, prose(i), "en", f"s{i % 3}", 1) for i in range(200)]
+    rows += [(7, prose(1000 + i % 40, "de"), "de", "s0", 1) for i in range(200)]
+    rows += [(None, prose(2000 + i % 40), None, None, None) for i in range(200)]
+    rows += [(900, None, "en", "s1", 0), (901, "", "en", "s1", 0), (902, "12 34 !", None, "s1", 0)]
+    rows += [(903, prose(3000) + " which of the seven rivers flows north through the old town " + prose(3001), "en", "s2", 1)]
+    folder = tables(spark, str(tmp_path), [(*r, 5, 6, 7, 8, "x") for r in rows], ", shard int, size int, copies int, fp bigint, unit string")
+    got = corpus_pipeline.run(spark, folder).collect()
+    kept = {r.text for r in got}
+    distinct = {r[1] for r in rows[:600]}
+    assert kept <= distinct and len(kept) >= 0.3 * len(distinct)
+    assert {r.unit for r in got} == {"x"} and {r["size"] for r in got} == {6} and set(r.shard for r in got) <= set(range(24))
+    assert any(r.doc_id is None for r in got) and max(Counter(r.text for r in got).values()) <= 2
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lang = materialise(stages["language id"](spark, docs, folder), "t")
+    assert lang.count() == 601 and lang.columns == docs.columns  # null, empty and letterless texts go
+    near = materialise(stages["simhash near-dedup"](spark, lang, folder), "t")
+    fps = {simhash.fingerprint(t.encode()) for t in {r.text for r in lang.collect()}}
+    assert near.columns == docs.columns and near.count() <= len(fps) and {r.text for r in near.where("doc_id is null").collect()}
+    clean = materialise(stages["benchmark decontamination"](spark, near, folder), "t")
+    assert near.where("doc_id = 903").count() == 1 and clean.count() == near.count() - 1 and not clean.where("doc_id = 903").count()
+    mixed = materialise(stages["mixing"](spark, clean, folder), "t")
+    want = Counter()
+    for r in mixing.mix(clean).collect():
+        want[r.doc_id, r["size"]] += r.copies
+    assert Counter((r.doc_id, len(r.text.split())) for r in mixed.collect()) == +want
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, str(tmp_path), [])).count() == 0
+
+
+def test_no_language_known(spark, tmp_path):
+    """Without any language to learn, texts with letters stay."""
+    rows = [(i, prose(i), None, "s", 1) for i in range(30)] + [(99, "1 2 3", None, "s", 1)]
+    got = corpus_pipeline.run(spark, tables(spark, str(tmp_path), rows)).collect()
+    assert {r.doc_id for r in got} <= set(range(30)) and len({r.doc_id for r in got}) >= 15
+
+
+def settings(spark):
+    conf = spark._jsparkSession.sessionState().conf().getAllConfs()
+    return dict(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(conf))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_leave_no_files_and_no_settings(spark, name):
+    root = shared_dir(spark).removeprefix("file://") + "/vicinal"
+    before, files = settings(spark), set(os.listdir(root)) if os.path.exists(root) else set()
+    with scratch():
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert settings(spark) == before and (set(os.listdir(root)) if os.path.exists(root) else set()) <= files

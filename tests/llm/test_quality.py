@@ -35,9 +35,16 @@ def test_held_out_labels(spark):
     assert len(held) > 50 and sum(r.predicted == label[r.doc_id] for r in held) / len(held) >= 0.95
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (2, "", 2), (3, "word " * 200_000, 3), (None, "Some text.", 4)], "doc_id bigint, text string, score int")
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 0), (3, 7), (None, 1)], "doc_id bigint, quality int")
     got = quality.classify(docs, labels).collect()
     assert len(got) == 5 and all(r.score is not None for r in got)
+    many = spark.createDataFrame([(i % 2 * 4 + 1, f"text {i} " * (1 + i % 3)) for i in range(3000)], "doc_id bigint, text string")
+    twice = spark.createDataFrame([(1, 0), (1, 0), (5, 1), (5, 1), (5, 0), (2, 1)] * 500, "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality.boosting, "fit", lambda x, y: seen.append(len(x)) or boosting.Forest(*(np.zeros(0, int),) * 5, np.zeros(0), 0.0))
+    quality.fit(quality.measured(many), twice)  # one row for each id, contradicting labels left out
+    assert seen[0] <= 1
+    monkeypatch.undo()
     assert quality.classify(docs, labels.limit(0)).count() == 5 and quality.classify(docs.limit(0), labels).count() == 0

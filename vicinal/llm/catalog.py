@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from vicinal.llm import avi, decontaminate, extract, langid, licenses, mixing, quality, sharding, simhash, warc
+from vicinal.llm import avi, decontaminate, extract, langid, licenses, mixing, pipeline, quality, sharding, simhash, warc
 from vicinal.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +51,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("nth")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
@@ -66,7 +65,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 #: What the archives must give back, from the pages alone.

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Batches, arrow_session, map_batches
+from vicinal.llm.common import Batches, map_batches
+from vicinal.runtime import share
 
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Share of the score of a verbatim copy from which a document leaks an item.
@@ -23,6 +24,8 @@ PAD = 3
 BLOCK_BYTES = 4 << 20
 #: Cells of one batch of alignments.
 CELLS = 1 << 20
+#: Postings of seeds that are looked through at a time.
+POSTINGS = 1 << 21
 #: Characters hashed at a time.
 CHARS = 1 << 18
 WORD = re.compile(r"\w+")
@@ -200,12 +203,30 @@ def align(windows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, end
 
 
-def _windows(it: Items, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, item, first, stop) token windows that hold every alignment worth a leak."""
+def _windows(it: Items, t: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, item, first, stop) token windows that hold every alignment worth a leak, for some items at a time.
+
+    Windows of one item don't depend on other items. So where common seeds have very many postings, the
+    items are halved until a share has at most POSTINGS of them (or is one item).
+    """
     where, code = it.hits(t)
-    n = np.diff(it.first)[code] if len(it.codes) else np.zeros(0, np.int64)
+    width = len(it.ids)
+    by_item = np.repeat(np.arange(len(it.codes)), np.diff(it.first)) * width + it.item if len(it.codes) else np.zeros(0, np.int64)
+    shares = [(0, width)]
+    while shares and len(where):
+        a, b = shares.pop()
+        first = np.searchsorted(by_item, code * width + a)
+        n = np.searchsorted(by_item, code * width + b) - first
+        if n.sum() > POSTINGS and b - a > 1:
+            shares += [((a + b) // 2, b), (a, (a + b) // 2)]
+        elif n.any():
+            yield _near(it, t, start, where, first, n)
+
+
+def _near(it: Items, t: np.ndarray, start: np.ndarray, where: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The windows from n postings, beginning at first, of the seed at each position where."""
     row = np.repeat(np.arange(len(where)), n)
-    post = it.first[code[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) if len(row) else np.zeros(0, np.int64)
+    post = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     pos, item, place = where[row], it.item[post], it.place[post]
     doc = np.searchsorted(start, pos, side="right") - 1
     length = it.length
@@ -223,11 +244,12 @@ def _windows(it: Items, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, .
     doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
     if not len(doc):
         return (doc, item, lo, hi)
-    reach = np.maximum.accumulate(hi + (np.cumsum(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0))) << 40)) & ((1 << 40) - 1)
-    new = np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (lo[1:] > reach[:-1]))
-    first = np.flatnonzero(new)
-    a, b = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
-    doc, item = doc[first], item[first]
+    group = np.cumsum(np.append(False, (np.diff(doc) != 0) | (np.diff(item) != 0))) * (hi.max() - lo.min() + 1)  # groups lie apart
+    reach = np.maximum.accumulate(hi + group)
+    new = np.append(True, lo[1:] + group[1:] > reach[:-1])
+    begin = np.flatnonzero(new)
+    a, b = np.minimum.reduceat(lo, begin), np.maximum.reduceat(hi, begin)
+    doc, item = doc[begin], item[begin]
     a, b = np.maximum(a, start[doc]), np.minimum(b, np.append(start[1:], len(t))[doc])
     # long stretches become windows of 8 item lengths that overlap by 4, more than any alignment spans
     stride = 4 * np.maximum(length[item], 1)
@@ -241,8 +263,15 @@ def _windows(it: Items, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, .
 def find(it: Items, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
     """(text number, item number, score, end word) of the best alignment of every candidate pair: of every leak, and others."""
     t, start = _encode(texts, it)
-    doc, item, a, b = _windows(it, t, start)
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    for windows in _windows(it, t, start):
+        _align_all(it, t, start, windows, best)
+    return [(d, i, s, e) for (d, i), (s, e) in sorted(best.items())]
+
+
+def _align_all(it: Items, t: np.ndarray, start: np.ndarray, windows: tuple[np.ndarray, ...], best: dict[tuple[int, int], tuple[int, int]]) -> None:
+    """Aligns every window with its item, CELLS at a time, and keeps the best of each (text, item)."""
+    doc, item, a, b = windows
     length = it.length
     order = np.lexsort((b - a, length[item])) if len(doc) else []
     at = 0
@@ -263,7 +292,6 @@ def find(it: Items, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
             if (d, i) not in best or (s, -e) > (best[d, i][0], -best[d, i][1]):
                 best[d, i] = (s, e)
         at = stop
-    return [(d, i, s, e) for (d, i), (s, e) in sorted(best.items())]
 
 
 def _leaking(it: Items, texts: list[str | None]) -> list[tuple[int, int, int, float, int]]:
@@ -280,7 +308,6 @@ def _leaking(it: Items, texts: list[str | None]) -> list[tuple[int, int, int, fl
 
 def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
     """Items in blocks of bounded size, each with its seeds."""
-    arrow_session(docs.sparkSession)
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n = max(1, -(-(size[0] + 16 * size[1]) // BLOCK_BYTES))
     for k in range(n):
@@ -302,7 +329,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out = None
     for it in _blocks(docs, benchmark):
-        sent = spark.sparkContext.broadcast(it)
+        sent = share(spark, it)
 
         def scan(batches: Batches, sent=sent) -> Iterator[pa.RecordBatch]:
             it = sent.value
@@ -320,7 +347,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that leak no item, with all their columns; each batch is filtered in place."""
     for it in _blocks(docs, benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(it)
+        sent = share(docs.sparkSession, it)
 
         def scan(batches: Batches, sent=sent) -> Batches:
             for b in batches:

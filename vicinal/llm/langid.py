@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Batches, arrow_session, held_out, map_batches, unit_hash
+from vicinal.llm.common import Batches, held_out, map_batches, unit_hash
+from vicinal.runtime import share
 
 #: Documents of each language that a model is fitted on, at most (expected number; chosen by a hash of the id).
 FIT_DOCS_PER_LANGUAGE = 4000
@@ -23,7 +25,9 @@ WORD_LIMIT, WRONG_SCRIPT = 25.0, 60.0
 SCRIPT_SHARE = 0.001
 BUCKETS = 1 << 16
 #: Words that one Viterbi run spans, and characters of which scores are computed at a time.
-WORDS_AT_ONCE, CHARS_AT_ONCE = 1 << 20, 1 << 18
+WORDS_AT_ONCE, CHARS_AT_ONCE = 1 << 19, 1 << 18
+#: Scores (words x languages) that one run holds; with more languages it spans fewer words, though always whole texts.
+SCORES_AT_ONCE = 1 << 22
 UNDETERMINED = "und"
 RESULT = "doc_id bigint, lang_pred string, score double, spans array<struct<word:int,n_words:int,lang:string>>"
 
@@ -52,19 +56,20 @@ SCRIPTS = [
 
 
 @cache
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: whether it is a letter, and its script."""
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: whether it is a letter, whether a mark (vowel signs, accents), and its script."""
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    mark = np.fromiter((category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
     script = np.zeros(0x110000, np.uint8)
     for i, (first, last) in enumerate(SCRIPTS, 1):
         script[first : last + 1] = i
     script[0x1E00:0x1F00] = 1
-    return letter, script
+    return letter, mark, script
 
 
 @dataclass
 class Words:
-    """Words of some texts: maximal runs of letters."""
+    """Words of some texts: maximal runs of letters and of the marks that follow them."""
 
     doc: np.ndarray  # text number of each word
     script: np.ndarray  # script of its first letter
@@ -73,11 +78,17 @@ class Words:
 
 
 def split_words(texts: list[str]) -> Words:
-    letter, script = _characters()
+    letter, mark, script = _characters()
     lower = [t.lower() for t in texts]
     codes = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) + 1 for t in lower])
     is_letter = letter[codes]
+    if mark[codes].any():  # a run of letters and marks belongs to a word from its first letter on
+        inside = is_letter | mark[codes]
+        at = np.arange(len(codes))
+        begin = np.maximum.accumulate(np.where(inside, 0, at + 1))  # of the run around each place
+        last = np.maximum.accumulate(np.where(is_letter, at, -1))  # letter up to it
+        is_letter = inside & (last >= begin)
     kept = np.where(is_letter, codes, 0).astype(np.uint64)
     before = np.concatenate([[np.uint64(0)], kept[:-1]])
     after = np.concatenate([kept[1:], [np.uint64(0)]])
@@ -157,6 +168,10 @@ def viterbi(emissions: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -
     return path
 
 
+def at_once(model: Model) -> int:
+    return min(WORDS_AT_ONCE, SCORES_AT_ONCE // max(1, len(model.langs)))
+
+
 def _label(model: Model, ids: list, texts: list[str], with_spans: bool) -> dict[str, list]:
     docs, letters, emissions, a = [], [], [], 0
     while a < len(texts):
@@ -196,8 +211,6 @@ def fit(docs: DataFrame) -> Model:
     Sampled is each language at the rate that gives FIT_DOCS_PER_LANGUAGE documents, so a rare language is
     learned whole. Only the languages' row counts and the bucket counts reach the driver.
     """
-    spark = docs.sparkSession
-    arrow_session(spark)
     known = docs.where(F.col("lang").isNotNull() & ~held_out())
     sizes = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())
     if not sizes:
@@ -231,10 +244,8 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
     every text where no language was learned, is `und` with score 0 and no spans. Rows are independent,
     so repeated rows and clashing extra columns don't matter.
     """
-    spark = docs.sparkSession
-    arrow_session(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])))])
-    sent = spark.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
 
     def flush(ids: list, texts: list[str]) -> pa.RecordBatch:
         if not sent.value.langs:
@@ -250,7 +261,7 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
                 ids.append(i)
                 texts.append(t or "")
                 words += len(texts[-1]) // 6
-                if words >= WORDS_AT_ONCE:
+                if words >= at_once(sent.value):
                     yield flush(ids, texts)
                     ids, texts, words = [], [], 0
         if ids:
@@ -261,7 +272,7 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame
 
 def _filtered(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """docs with only the rows of a language; batches are held until one Viterbi run, then filtered in place."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for b in held for t in b.column("text").to_pylist()]
@@ -278,7 +289,7 @@ def _filtered(docs: DataFrame, model: Model, least: float) -> DataFrame:
             if b.num_rows:
                 held.append(b)
                 size += b.nbytes
-            if size >= 6 * WORDS_AT_ONCE:
+            if size >= 6 * at_once(sent.value):
                 yield from flush(held)
                 held, size = [], 0
         if held:
@@ -295,8 +306,8 @@ def identify(docs: DataFrame, with_spans: bool = True) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Documents whose text has letters of which at least that share is in one language, all columns kept.
 
-    Rows are judged one by one where they lie. Where no language can be learned, no row stays.
+    Rows are judged one by one where they lie. Where no language can be learned (no row has one), nothing can
+    be rejected for its language: every text with a letter stays.
     """
-    arrow_session(docs.sparkSession)
     model = fit(docs)
-    return _filtered(docs, model, least) if model.langs else docs.where("false")
+    return _filtered(docs, model, least) if model.langs else docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

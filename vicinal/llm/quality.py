@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm import boosting
-from vicinal.llm.common import Batches, arrow_session, byte_rows, held_out, map_batches, unit_hash, utf8
-from vicinal.runtime import materialise
+from vicinal.llm.common import Batches, byte_rows, held_out, map_batches, unit_hash, utf8
+from vicinal.runtime import materialise, share
 
 #: Labelled documents that a model is fitted on, at most (expected number; chosen by a hash of the id).
 FIT_DOCS = 20_000
@@ -60,7 +60,6 @@ def statistics(data: bytes) -> list[float]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, f array<float>: the statistics of every whole text, null as empty."""
-    arrow_session(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("f", pa.list_(pa.float32()))])
 
     def scan(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -78,12 +77,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame) -> boosting.Forest:
     """Trees from the labelled documents that aren't held out: all of them, or a hash sample of about FIT_DOCS.
 
-    Documents and labels are joined without texts. Labels other than 0 and 1 are left out. Without labels
-    of both kinds every score is the smoothed share of label 1.
+    Documents and labels are joined without texts. Labels other than 0 and 1 are left out, and so are ids
+    whose labels contradict each other; an id on several rows gives one, so the driver gets at most about
+    FIT_DOCS rows. Without labels of both kinds every score is the smoothed share of label 1.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     rate = FIT_DOCS / max(1, known.count())
-    rows = stats.join(known.where(unit_hash("doc_id") < rate), "doc_id").select("doc_id", "f", "y").toArrow()
+    chosen = known.where(unit_hash("doc_id") < rate)
+    # at most about FIT_DOCS ids: their rows are looked up where they lie, and one is kept before any shuffle
+    rows = stats.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("f").alias("f"), F.min("y").alias("y")).toArrow()
     x, y, ids = _matrix(rows["f"]), rows["y"].to_numpy().astype(float), rows["doc_id"].to_numpy()
     order = np.lexsort((*x.T[::-1], y, ids)) if len(ids) else np.zeros(0, int)  # the same trees whatever the order of the rows
     return boosting.fit(x[order], y[order])
@@ -91,15 +94,13 @@ def fit(stats: DataFrame, labels: DataFrame) -> boosting.Forest:
 
 def score(stats: DataFrame, forest: boosting.Forest) -> DataFrame:
     """doc_id, score: probability that the label is 1."""
-    spark = stats.sparkSession
-    arrow_session(spark, 5000)
-    sent = spark.sparkContext.broadcast(forest)
+    sent = share(stats.sparkSession, forest)
 
     def scan(batches: Batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(_matrix(b.column("f"))))], names=["doc_id", "score"])
 
-    return map_batches(stats, scan, "doc_id bigint, score double")
+    return map_batches(stats, scan, "doc_id bigint, score double", rows=5000)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
