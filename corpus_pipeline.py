@@ -1,58 +1,12 @@
-"""A training corpus from raw documents: each stage takes what its predecessor kept."""
+"""The corpus pipeline's driver contract: STAGES, ORACLE_SQL and run()."""
 
 from __future__ import annotations
 
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from vicinal.llm import decontaminate, langid, mixing, sharding, simhash  # noqa: E402
-from vicinal.runtime import ensure_importable, materialise  # noqa: E402
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that has 30 % of them, go; mixed texts of two or three languages stay."""
-    return langid.keep_identified(docs)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.keep_one(docs)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, verbatim or edited, go."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.apply_mix(docs)
-
-
-def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard of near-equal bytes."""
-    return sharding.with_shard(docs)
-
-
-STAGES = [
-    ("language id", identify_language),
-    ("simhash near-dedup", drop_near_copies),
-    ("benchmark decontamination", drop_leaks),
-    ("mixing", mix_sources),
-    ("sharding", place_in_shards),
-]
-
-#: Language models, alignments and balanced sampling have no SQL; tests hold each stage against brute force.
-ORACLE_SQL = None
-
+from vicinal.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: E402
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_importable(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
