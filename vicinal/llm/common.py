@@ -107,7 +107,7 @@ def join_table(rows: DataFrame, table: DataFrame, key: str, count: str, total: i
     is_hot = (F.col(count) > FEW) & (F.col(count) * SHARES > total)
     hot, cold = F.broadcast(table.where(is_hot).drop(count)), table.where(~is_hot).drop(count)
     few = rows.join(hot, key)
-    return few.unionByName(rows.join(hot, key, "left_anti").join(cold, key).select(*few.columns))
+    return few.unionByName(rows.join(hot, key, "left_anti").join(cold.hint("merge"), key).select(*few.columns))
 
 
 def utf8(column: str = "text") -> Column:

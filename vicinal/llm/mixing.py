@@ -211,5 +211,6 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     """
     rows = identified(docs)
     copies = materialise(_settled(rows, _hashable(docs)).where("copies > 0").select(FILE, ROW, F.col("copies").alias("__vicinal_copies")), "copies")
-    taken = rows.join(copies, [FILE, ROW]).withColumn("__vicinal_copy", F.explode(F.sequence(F.lit(1), F.col("__vicinal_copies"))))
+    # by a shuffle at every size: the copies grow with the documents
+    taken = rows.join(copies.hint("merge"), [FILE, ROW]).withColumn("__vicinal_copy", F.explode(F.sequence(F.lit(1), F.col("__vicinal_copies"))))
     return taken.select(*docs.columns)

@@ -170,4 +170,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
         distinct = materialise(fps.groupBy("fp").agg(first), "distinct")
         rooted = distinct.join(_roots(distinct), F.col("fp") == F.col("node"), "left")
         kept = materialise(rooted.groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first")).select(f"first.{FILE}", f"first.{ROW}"), "kept", outlive=True)
-    return rows.join(kept, [FILE, ROW], "left_semi").select(*docs.columns)
+    # by a shuffle at every size: what is kept grows with the documents
+    return rows.join(kept.hint("merge"), [FILE, ROW], "left_semi").select(*docs.columns)
