@@ -74,3 +74,13 @@ def test_wrapped_and_double_spaced_notices_equal_sql(spark):
     con.execute("create table documents(doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
     assert [r[1] for r in sorted(con.execute(L.scan_sql()).fetchall())] == found(spark, texts)
+
+
+def test_a_shorter_notice_beside_a_longer_one(spark):
+    """A BSD-2 notice of its own counts beside a BSD-3 notice, before or behind it, but the one within that doesn't."""
+    two = ". ".join(L.SENTENCES[k] for k in (12, 13, 14)) + ".\n"
+    three = ". ".join(L.SENTENCES[k] for k in (12, 13, 14, 15)) + ".\n"
+    texts = [two, three, two + three, three + two, three + three, three + "Other words. " + two]
+    got = {r.doc_id: r.licenses for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    both = "BSD-2-Clause,BSD-3-Clause"
+    assert [got[i] for i in range(6)] == ["BSD-2-Clause", "BSD-3-Clause", both, both, "BSD-3-Clause", both]

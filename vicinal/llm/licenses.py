@@ -69,7 +69,7 @@ RULES = [
     ("MPL-2.0", (29,)),
     ("all-rights-reserved", (3,)),
 ]
-#: A rule that lies within a longer one that also matches says nothing of its own.
+#: A rule that begins a longer one matches only where the longer one doesn't: its match there lies within the other's.
 WITHIN = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Each known sentence holds one of these, so a text without any needs no splitting. No white space: between
 #: two words a text may have any.
@@ -115,17 +115,22 @@ def _sequence(text: Column, pattern: str) -> Column:
     return F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
 
 
+def _longer(name: str) -> list[str]:
+    """The sequences of the rule around name, as text: they are cut out before name is looked for."""
+    return ["," + ",".join(map(str, ids)) for n, ids in RULES if n == WITHIN.get(name)]
+
+
 def _matches(*sequences: Column) -> Column:
     names = list(dict.fromkeys(n for n, _ in RULES))
-    hit = {}
+    found = []
     for name in names:
-        any_of = F.lit(False)
+        any_of, own = F.lit(False), sequences
+        for part in _longer(name):
+            own = [F.replace(s, F.lit(part), F.lit("")) for s in own]
         for rule, ids in RULES:
             if rule == name:
-                part = "," + ",".join(map(str, ids)) + ","
-                any_of = reduce(or_, (F.contains(s, F.lit(part)) for s in sequences), any_of)
-        hit[name] = any_of
-    found = [F.when(hit[n] & ~(hit[WITHIN[n]] if n in WITHIN else F.lit(False)), F.lit(n)) for n in names]
+                any_of = reduce(or_, (F.contains(s, F.lit("," + ",".join(map(str, ids)) + ",")) for s in own), any_of)
+        found.append(F.when(any_of, F.lit(name)))
     return F.array_sort(F.filter(F.array(*found), lambda n: n.isNotNull()))
 
 
@@ -157,8 +162,14 @@ def scan_sql() -> str:
         return f"',' || array_to_string(list_transform({places}, lambda k: ([{ids}])[k]), ',') || ','"
 
     names = list(dict.fromkeys(n for n, _ in RULES))
-    test = lambda name: "(" + " or ".join(f"contains({c}, ',{','.join(map(str, ids))},')" for n, ids in RULES if n == name for c in ("a", "b")) + ")"
-    cases = ", ".join(f"case when {test(n)}" + (f" and not {test(WITHIN[n])}" if n in WITHIN else "") + f" then '{n}' end" for n in names)
+
+    def test(name: str) -> str:
+        own = ["a", "b"]
+        for part in _longer(name):
+            own = [f"replace({c}, '{part}', '')" for c in own]
+        return " or ".join(f"contains({c}, ',{','.join(map(str, ids))},')" for n, ids in RULES if n == name for c in own)
+
+    cases = ", ".join(f"case when {test(n)} then '{n}' end" for n in names)
     return f"""select doc_id, array_to_string(f, ',') licenses, cast(len(f) as integer) n_licenses from (
  select doc_id, list_sort(list_filter([{cases}], lambda n: n is not null)) f from (
  select doc_id, {sequence(BY_LINE)} a, {sequence(WRAPPED)} b from (select doc_id, coalesce(text, '') as text from documents)))"""
