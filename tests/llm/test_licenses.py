@@ -84,3 +84,80 @@ def test_a_shorter_notice_beside_a_longer_one(spark):
     got = {r.doc_id: r.licenses for r in L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     both = "BSD-2-Clause,BSD-3-Clause"
     assert [got[i] for i in range(6)] == ["BSD-2-Clause", "BSD-3-Clause", both, both, "BSD-3-Clause", both]
+
+
+def spoken(spark, texts):
+    """found(), which must equal the SQL too."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    got = found(spark, texts)
+    assert [r[1] for r in sorted(con.execute(L.scan_sql()).fetchall())] == got
+    return got
+
+
+def test_notices_as_they_are_written(spark):
+    gpl3 = (
+        "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n"
+        "    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,"
+    )
+    lgpl = (
+        " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n"
+        " * version 2.1 of the License, or (at your option) any later version.\n"
+    )
+    kernel = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.\n"
+    bsd = f"{L.SENTENCES[12]}:\n\n   * {L.SENTENCES[13]}.\n   * {L.SENTENCES[14]}.\n   * Neither the name of %s nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    zlib = f"{L.SENTENCES[76]}. In no event will the authors be held liable.\n\n{L.SENTENCES[48]}:\n\n1. The origin must not be misrepresented; {L.SENTENCES[49]}.\n2. {L.SENTENCES[50]}.\n"
+    texts = [gpl3, lgpl, kernel, bsd % "Google Inc.", bsd % "the University of Somewhere", zlib, gpl3.replace("General", "Affero General")]
+    assert found(spark, texts) == ["GPL-3.0-or-later", "LGPL-2.1-or-later", "GPL-2.0-only", "BSD-3-Clause", "BSD-3-Clause", "Zlib", "AGPL-3.0-or-later"]
+
+
+def test_named_licences_and_spdx_lines(spark):
+    texts = [
+        "This project is licensed under the MIT license.", "Distributed under the terms of the GNU General Public License v3.0.", "All source code is released under the BSD 3-Clause License!",
+        "The data set is made available under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "Licensed under Apache 2.0.",
+        "This project is not licensed under the MIT license.", "It was licensed under pressure.", "licensed under the apache",
+    ]
+    assert spoken(spark, texts) == ["MIT", "GPL-3.0-only", "BSD-3-Clause", "CC-BY-NC-SA-3.0", "Apache-2.0", "", "", "Apache-2.0"]
+    lines = {"GPL-2.0+": "GPL-2.0-or-later", "GPL-2.0": "GPL-2.0-only", "LGPL-2.1+": "LGPL-2.1-or-later", "CC-BY-SA-2.5": "CC-BY-SA-2.5", "BSL-1.0": "BSL-1.0", "0BSD": "0BSD", "Nothing-1.0": ""}
+    assert found(spark, [f"// SPDX-License-Identifier: {k}\nint x;" for k in lines]) == list(lines.values())
+
+
+def test_a_licence_around_another_counts_alone_and_identifiers_do_not_run_together(spark):
+    texts = [text((10, 11, 61)), text((10, 11)), text((56, 61)), text((12, 13, 14, 57, 15)), text((12, 13, 14, 57, 15, 12, 13, 14)), text((12, 13, 14, 15)) + "\n" + text((12, 13, 14, 15))]
+    assert spoken(spark, texts) == ["X11", "MIT", "curl", "BSD-4-Clause", "BSD-2-Clause,BSD-4-Clause", "BSD-3-Clause"]
+    known = L.built_in().known
+    assert len({tuple(L.normalised(s).split()) for s in L.SENTENCES.values()}) == len(L.SENTENCES) and all(L.normalised(k) == k for k in known)
+    assert all(any(a in w.lower() for a in L.ANCHORS) for all_of in L.WORDINGS.values() for w in all_of)
+
+
+def test_tables_from_whole_texts(spark):
+    own = "Our Own Licence, first issue\n\nYou may read this licence aloud. You may not\nsing it: singing needs our leave.\n\n1. Reading at night is free of charge; at day it is not.\n"
+    other = "You may read this licence aloud. Reading at night is free of charge; reading by day costs one penny.\n"
+    texts = {"Own": own, "Penny": other}
+    docs = ["Preface.\n\n" + own, own.replace("aloud. You may not\nsing", "aloud.\nYou\nmay not sing"), "# " + own.replace("\n", "\n# "), other, own.replace("night", "noon"), own + other, text((10, 11)) + "\n" + other, "", None]
+    rows = L.scan(spark.createDataFrame(list(enumerate(docs)), DOCS), texts).collect()
+    assert [r.licenses for r in sorted(rows, key=lambda r: r.doc_id)] == ["Own", "Own", "Own", "Penny", "", "Own,Penny", "MIT,Penny", "", ""]
+    for bad in ("", "Two words. Licence."):
+        try:
+            L.from_texts({"x": bad})
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+
+
+def test_whole_texts_of_the_system(spark):
+    """Each licence text that the system keeps is found in itself, and in no other one but where that holds it whole."""
+    from pathlib import Path
+
+    import pytest
+
+    files = sorted(f for f in Path("/usr/share/common-licenses").glob("*") if f.is_file() and not f.is_symlink())
+    if not files:
+        pytest.skip("no licence texts on this system")
+    texts = {f.name: f.read_text("utf-8", "replace") for f in files}
+    rows = L.scan(spark.createDataFrame([(i, "# Title\n\n" + t + "\nend") for i, t in enumerate(texts.values())], DOCS), texts).collect()
+    for r in rows:
+        assert [n for n in r.licenses.split(",") if n in texts] == [list(texts)[r.doc_id]]
