@@ -370,8 +370,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """
     tables = [built_in()] + ([from_texts(texts)] if texts else [])
     text = F.coalesce("text", F.lit(""))
-    candidate = reduce(or_, (F.contains(F.lower(text), F.lit(a)) for a in ANCHORS))
     # a lambda's argument is computed once, however often its body refers to it; a projection would be inlined
+    candidate = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, (F.contains(t, F.lit(a)) for a in ANCHORS)))
     own = F.array(F.when(candidate, text).otherwise(""))
 
     def names(table: Table) -> Column:
