@@ -125,6 +125,18 @@ def test_named_licences_and_spdx_lines(spark):
     assert found(spark, [f"// SPDX-License-Identifier: {k}\nint x;" for k in lines]) == list(lines.values())
 
 
+def test_spdx_expressions(spark):
+    lines = {
+        "MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "(MIT AND BSD-3-Clause) OR GPL-2.0-or-later WITH Classpath-exception-2.0": "BSD-3-Clause,GPL-2.0-or-later,MIT",
+        "GPL-2.0+ OR Nothing-1.0 OR ISC OR Zlib OR 0BSD OR CC0-1.0": "0BSD,CC0-1.0,GPL-2.0-or-later,ISC,Zlib",
+        "Apache-2.0 WITH LLVM-exception": "Apache-2.0",
+        "MIT\nint either OR Apache-2.0;": "MIT",
+    }
+    assert found(spark, [f"/* SPDX-License-Identifier: {k} */\nint x;" for k in lines]) == list(lines.values())
+    assert found(spark, ["no tag here: MIT OR Apache-2.0 licence"]) == [""]
+
+
 def test_a_licence_around_another_counts_alone_and_identifiers_do_not_run_together(spark):
     texts = [text((10, 11, 61)), text((10, 11)), text((56, 61)), text((12, 13, 14, 57, 15)), text((12, 13, 14, 57, 15, 12, 13, 14)), text((12, 13, 14, 15)) + "\n" + text((12, 13, 14, 15))]
     assert spoken(spark, texts) == ["X11", "MIT", "curl", "BSD-4-Clause", "BSD-2-Clause,BSD-4-Clause", "BSD-3-Clause"]

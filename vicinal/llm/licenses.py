@@ -226,6 +226,9 @@ ANCHORS = ["licens", "licenc", "reserved", "permission", "redistribut", "softwar
 #: without punctuation (paragraphs()).
 BY_LINE, WRAPPED = "[.!?:;]+[ \\t\\r]+|[.!?:;]*\\n", "[.!?:;]+[ \\t\\r\\n]+"
 LETTERS = "[^a-z0-9]+"
+#: Between the licences of an SPDX line's expression, and exceptions within one (of up to 1,000 characters).
+TAG = "SPDX-License-Identifier:"
+JOINS, EXCEPTION = f"[ \\t)]+(?:OR|AND)[ \\t(]+(?<={TAG}[^\\n]{{0,1000}})", f"[ \\t]+WITH[ \\t]+[A-Za-z0-9.+-]+(?<={TAG}[^\\n]{{0,1000}})"
 #: A line without letters and digits: blank, but for comment signs.
 BLANK = "[^a-zA-Z0-9\\n]{0,80}\\n"
 
@@ -328,6 +331,12 @@ def _text(ids: tuple[int, ...]) -> str:
     return "".join(f",{k}," for k in ids)
 
 
+def _lines_of_expressions(text: Column) -> Column:
+    """text with an SPDX line for each licence of an SPDX expression."""
+    plain = F.regexp_replace(F.regexp_replace(text, EXCEPTION, ""), JOINS, f"\n{TAG} ")
+    return F.when(F.contains(text, F.lit(TAG)), plain).otherwise(text)
+
+
 def _longer(rules: list[tuple[str, tuple[int, ...]]], name: str, ids: tuple[int, ...]) -> list[str]:
     """The least sequences of other licences that hold this one within, as text; what holds one of them isn't needed."""
     around = {_text(other) for n, other in rules if n != name and len(other) > len(ids) and _text(ids) in _text(other)}
@@ -365,14 +374,14 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, licenses (sorted, comma-joined, empty if none), n_licenses of every document.
 
     A rule matches where its identifiers follow one another in the document's sequence of known sentences;
-    other sentences between them don't matter. `texts` adds whole licence texts to the table (from_texts()).
+    other sentences between them don't matter. Of an SPDX expression every licence counts. `texts` adds whole licence texts to the table (from_texts()).
     A null text has no licence. Rows are independent; the whole scan is one projection without a shuffle.
     """
     tables = [built_in()] + ([from_texts(texts)] if texts else [])
     text = F.coalesce("text", F.lit(""))
     # a lambda's argument is computed once, however often its body refers to it; a projection would be inlined
     candidate = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, (F.contains(t, F.lit(a)) for a in ANCHORS)))
-    own = F.array(F.when(candidate, text).otherwise(""))
+    own = F.array(F.when(candidate, _lines_of_expressions(text)).otherwise(""))
 
     def names(table: Table) -> Column:
         patterns = (BY_LINE, WRAPPED, paragraphs(table.begins))
