@@ -111,7 +111,7 @@ def test_notices_as_they_are_written(spark):
     bsd = f"{L.SENTENCES[12]}:\n\n   * {L.SENTENCES[13]}.\n   * {L.SENTENCES[14]}.\n   * Neither the name of %s nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
     zlib = f"{L.SENTENCES[76]}. In no event will the authors be held liable.\n\n{L.SENTENCES[48]}:\n\n1. The origin must not be misrepresented; {L.SENTENCES[49]}.\n2. {L.SENTENCES[50]}.\n"
     texts = [gpl3, lgpl, kernel, bsd % "Google Inc.", bsd % "the University of Somewhere", zlib, gpl3.replace("General", "Affero General")]
-    assert found(spark, texts) == ["GPL-3.0-or-later", "LGPL-2.1-or-later", "GPL-2.0-only", "BSD-3-Clause", "BSD-3-Clause", "Zlib", "AGPL-3.0-or-later"]
+    assert spoken(spark, texts) == ["GPL-3.0-or-later", "LGPL-2.1-or-later", "GPL-2.0-only", "BSD-3-Clause", "BSD-3-Clause", "Zlib", "AGPL-3.0-or-later"]
 
 
 def test_named_licences_and_spdx_lines(spark):
