@@ -31,6 +31,25 @@ LEAST_SPLIT = 4 << 20
 PARTIAL = "q_id bigint, tile bigint, x_id bigint, dist float"
 
 
+def _row_bytes(d: int) -> int:
+    return d * 4 + 16
+
+
+def query_block(d: int, k: int = 1) -> int:
+    """Queries that one task holds: as many as their vectors and their lists of k have room for."""
+    return max(1, min(QUERY_BLOCK_BYTES // _row_bytes(d), HELD // k))
+
+
+def corpus_blocks(m: int, d: int) -> int:
+    """Blocks of the corpus on a grid, each of about CELL_BYTES."""
+    return max(1, -(-m * _row_bytes(d) // CELL_BYTES))
+
+
+def screened(n: int, query_batch: int | None = None) -> int:
+    """Queries of which one screening matrix is made."""
+    return min(query_batch or n, max(1, CELLS // ROWS_AT_ONCE))
+
+
 def _measure(Q: DataFrame) -> tuple[int, int]:
     """Number of queries and their dimension, in one aggregate."""
     row = Q.agg(F.count("*"), F.max(F.array_size("q_vec"))).first()
@@ -71,11 +90,10 @@ def pairwise(Q: DataFrame, X: DataFrame) -> DataFrame:
     """
     n, d = _measure(Q)
     q, x = _vectors(Q, X, d)
-    blocks = -(-n * (d * 4 + 16) // QUERY_BLOCK_BYTES)
-    if blocks <= 1:
+    if n <= query_block(d):
         pairs = x.crossJoin(F.broadcast(q))
     else:
-        left, right = _on_grid(q, x, blocks, max(1, -(-X.count() * (d * 4 + 16) // CELL_BYTES)))
+        left, right = _on_grid(q, x, -(-n // query_block(d)), corpus_blocks(X.count(), d))
         pairs = left.join(right, ["qb", "xb"])
     return pairs.select("q_id", "x_id", l2sq("q_vec", "x_vec").alias("dist"))
 
@@ -104,7 +122,7 @@ def _search(batches: Iterable[pa.RecordBatch], q_ids: np.ndarray, q: np.ndarray,
     What is held is bounded by HELD list entries; a task that meets more tiles than that gives lists out early.
     """
     best: dict[int, Running] = {}
-    step = min(query_batch or len(q), max(1, CELLS // ROWS_AT_ONCE))
+    step = screened(len(q), query_batch)
 
     def lists() -> Iterator[pa.RecordBatch]:
         for tile, r in best.items():
@@ -142,12 +160,12 @@ def partials(Q: DataFrame, X: DataFrame, k: int, tile_size: int | None = None, q
     if not n:
         return spark.createDataFrame([], PARTIAL)
     q, x = _vectors(Q, X, d)
-    per_block = max(1, min(QUERY_BLOCK_BYTES // (d * 4 + 16), HELD // k))
+    per_block = query_block(d, k)
     if n <= per_block:
         table = q.toArrow()  # at most QUERY_BLOCK_BYTES
         sent = share(spark, (_long(table, "q_id"), _matrix(table, "q_vec", d)))
         return x.mapInArrow(lambda batches: _search(batches, *sent.value, k, tile_size, query_batch), PARTIAL)
-    left, right = _on_grid(q, x, -(-n // per_block), max(1, -(-X.count() * (d * 4 + 16) // CELL_BYTES)))
+    left, right = _on_grid(q, x, -(-n // per_block), corpus_blocks(X.count(), d))
 
     def cell(queries: pa.Table, rows: pa.Table) -> pa.Table:
         found = list(_search(rows.to_batches(), _long(queries, "q_id"), _matrix(queries, "q_vec", d), k, tile_size, query_batch))

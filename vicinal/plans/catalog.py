@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.text import csv_ints
 from vicinal.operators import blocks, report
 from vicinal.operators.knn import knn, knn_wide, merge_partials, pairwise, partials
+from vicinal.plans import studies
 from vicinal.plans.variants import run_variant
 from vicinal.runtime import shared_dir
 from vicinal.sources import generate, reports
@@ -67,6 +68,19 @@ def _cluster_gather(s: SparkSession, d: str) -> DataFrame:
     return blocks.gather(rows, centers).select("q_id", "group_id", "center_label")
 
 
+#: Settings of the registered sweeps: variants, k, n and options.
+SWEEPS: dict[str, tuple[list[str], list[int], list[int], dict]] = {
+    "sweep_n": (["baseline"], [10], [2, 8, 400], {}),
+    "sweep_tiled": (["tiled"], [1, 10], [4], {"tile_size": 125}),
+    "sweep_variants": (["baseline", "heap", "q2", "q16", "tiled"], [3], [5], {"tile_size": 50}),
+    "sweep_repeat": (["baseline", "q4"], [2], [3, 6], {"trials": 2}),
+}
+
+
+def _chart(df: DataFrame) -> DataFrame:
+    return studies.chart_points(report.throughput(df.withColumnRenamed("ms", "query_ms")))
+
+
 def _stored(read: Callable[[SparkSession, list[str]], DataFrame]) -> Query:
     """A reader over two reports that are written first: the rows of each src as a JSON document, and one failure."""
 
@@ -115,6 +129,10 @@ QUERIES: dict[str, Query] = {
     "json_results": _stored(lambda s, paths: reports.read_results(s, paths).select("src", "pos", "variant", "n", "k", "ms", "recall")),
     "json_meta": _stored(reports.read_meta),
     "json_failures": _stored(reports.read_failures),
+    **{name: studies.study(*lists, **options) for name, (*lists, options) in SWEEPS.items()},
+    "sweep_failures": studies.failures(["baseline", "heap", "tiled"], [0, 2], [3]),
+    "block_choice": studies.block_choice,
+    "chart_points": _over_bench(_chart),
 }
 
 _STATS = f"select variant, n, k, count(ms) trials, avg(ms) mean_query_ms, stddev_pop(ms) std_query_ms from {BENCH} group by variant, n, k"
@@ -155,4 +173,9 @@ ORACLE: dict[str, str] = {
     "json_results": f"select src, pos, variant, cast(n as bigint) n, cast(k as bigint) k, ms, recall from {BENCH}",
     "json_meta": "select cast(1000 as bigint) m, cast(8 as bigint) d",
     "json_failures": "select cast(src as integer) src, 'q2' as variant, cast(5 as bigint) n, cast(src as bigint) k, 'ValueError: no' as error from range(2) t(src)",
+    **{name: studies.study_sql(*lists, **options) for name, (*lists, options) in SWEEPS.items()},
+    "sweep_failures": "select variant, cast(3 as bigint) n, cast(0 as integer) k, 'ValueError: k must be at least 1' error from (values ('baseline'), ('heap'), ('tiled')) t(variant)",
+    "block_choice": studies.BLOCK_SQL,
+    "chart_points": f"""select 'k = ' || k line, cast(n as double) x, n / (ms * 1e-3) y from (select * from {BENCH} where coalesce(recall, 0) >= 0.9)
+ qualify row_number() over (partition by k, n order by src, pos) = 1""",
 }

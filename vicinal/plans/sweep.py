@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vicinal.functions.text import parse_variants, whole_numbers
 from vicinal.operators import report
 from vicinal.operators.blocks import query_prefix
-from vicinal.operators.knn import CELLS, ROWS_AT_ONCE, chosen, recall
+from vicinal.operators.knn import chosen, recall, screened
 from vicinal.plans.variants import TILE, VARIANTS, attributes, run_variant
 from vicinal.runtime import scratch
 from vicinal.sources.generate import gaussian, queries
@@ -34,9 +34,9 @@ def time_ms(df: DataFrame, warmup: int = 1, reps: int = 3) -> float:
     return (time.perf_counter() - t) * 1000 / reps
 
 
-def _plan_columns(variant: str, Q: DataFrame, X: DataFrame, df: DataFrame, m: int, tile_size: int | None) -> dict:
+def _plan_columns(variant: str, Q: DataFrame, X: DataFrame, df: DataFrame, m: int, n: int, tile_size: int | None) -> dict:
     """How a row's plan was chosen: strategy, queries screened at a time, tiles, and what the plan consists of."""
-    per_step = int(variant[1:]) if variant[1:].isdigit() else max(1, CELLS // ROWS_AT_ONCE)
+    per_step = screened(n, int(variant[1:]) if variant[1:].isdigit() else None)
     row = {"strategy": "arrow" if variant == "heap" or variant[1:].isdigit() else chosen(Q, X), "block": per_step, "plan_attrs": attributes(df)}
     if variant == "tiled":
         row |= {"tile_size": tile_size or TILE, "n_tiles": -(-m // (tile_size or TILE))}
@@ -83,7 +83,7 @@ def sweep(
                         df = run_variant(v, prefix, X, k, **own)
                         ms = [time_ms(df, warmup, reps) for _ in range(trials)]
                         row = {"variant": v, "distribution": distribution, "m": m, "d": d, "n": n, "k": k, "trials": trials, "reps": reps, "trial_query_ms": ms}
-                        row |= _plan_columns(v, prefix, X, df, m, tile_size)
+                        row |= _plan_columns(v, prefix, X, df, m, n, tile_size)
                         if measure_recall:
                             row["recall"] = recall(df, run_variant("baseline", prefix, X, k)).agg({"recall": "avg"}).first()[0]
                 except Exception as e:

@@ -41,4 +41,9 @@ def write_report(path: str, meta: dict, results: list[dict], failures: list[dict
 
 def store_report(spark: SparkSession, path: str, meta: dict, results: list[dict], failures: list[dict] | None = None) -> None:
     """The same document in a folder of any store that Spark writes to."""
-    spark.createDataFrame([(dumps(meta, results, failures),)], "value string").coalesce(1).write.text(path, lineSep="\n")
+    store_text(spark, path, dumps(meta, results, failures))
+
+
+def store_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small document as the only file of a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path, lineSep="\n")
