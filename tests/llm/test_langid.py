@@ -1,4 +1,7 @@
 import itertools
+import math
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -65,3 +68,75 @@ def test_filter_keeps_clean_documents_and_columns(spark):
     docs = small(spark).withColumn("lang_pred", langid.F.lit(1)).unionByName(spark.createDataFrame([(999, "12 !!", None, 1), (None, "the cat", None, 1)], "doc_id bigint, text string, lang string, lang_pred int"))
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == 121
+
+
+def plain_words(text):
+    """Words as lists of characters: a letter, then letters and marks."""
+    out, inside = [], False
+    for c in text.lower():
+        if c.isalpha() or (inside and langid.category(c)[0] == "M"):
+            if not inside:
+                out.append([])
+            out[-1].append(c)
+            inside = True
+        else:
+            inside = False
+    return out
+
+
+def plain_buckets(word):
+    codes = [0, *map(ord, word), 0]
+    return [((((a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F + c) * 0x165667B19E3779F9) % 2**64) >> 48 for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)]
+
+
+def plain_script(word):
+    return next((1 if first == 0x1E00 else i for i, (first, last) in reversed(list(enumerate(langid.SCRIPTS, 1))) if first <= ord(word[0]) <= last), 0)
+
+
+def slow_label(words, langs, log_p, allowed):
+    """lang_pred and score of one text, a word and a language at a time."""
+    V, back = None, []
+    for w in words:
+        e = [sum(log_p[b][k] for b in plain_buckets(w)) for k in range(len(langs))]
+        e = [max(x - max(e), -langid.WORD_LIMIT) - (0 if allowed[plain_script(w)][k] else langid.WRONG_SCRIPT) for k, x in enumerate(e)]
+        if V is None:
+            V = e
+            continue
+        top = V.index(max(V))
+        back.append([k if V[k] >= V[top] - langid.SWITCH else top for k in range(len(langs))])
+        V = [max(V[k], V[top] - langid.SWITCH) + x for k, x in enumerate(e)]
+    if V is None:
+        return "und", 0.0
+    path = [V.index(max(V))]
+    for row in reversed(back):
+        path.append(row[path[-1]])
+    letters = [0] * len(langs)
+    for k, w in zip(reversed(path), words, strict=True):
+        letters[k] += len(w)
+    best = letters.index(max(letters))
+    return langs[best], letters[best] / sum(letters)
+
+
+def test_whole_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    known = [r for r in docs if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    langs = sorted({r.lang for r in known})
+    assert 0 < len(known) <= langid.FIT_DOCS_PER_LANGUAGE
+    grams, scripts = Counter(), Counter()
+    for r in known:
+        for w in plain_words(r.text or ""):
+            grams.update((b, r.lang) for b in plain_buckets(w))
+            scripts[plain_script(w), r.lang] += len(w)
+    total = {x: sum(n for (_, y), n in grams.items() if y == x) for x in langs}
+    letters = {x: sum(n for (_, y), n in scripts.items() if y == x) for x in langs}
+    unseen = [math.log(0.2 / (total[x] + 0.2 * 65536)) for x in langs]
+    log_p = defaultdict(lambda: unseen)
+    for b in {b for b, _ in grams}:
+        log_p[b] = [math.log((grams[b, x] + 0.2) / (total[x] + 0.2 * 65536)) for x in langs]
+    allowed = {s: [scripts[s, x] >= langid.SCRIPT_SHARE * max(1, letters[x]) for x in langs] for s in range(len(langid.SCRIPTS) + 1)}
+    allowed = {s: a if any(a) else [True] * len(langs) for s, a in allowed.items()}
+    want = sorted((r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 5 == 0, *slow_label(plain_words(r.text or ""), langs, log_p, allowed)) for r in docs)
+    got = sorted((r.doc_id, r.held_out, r.lang_pred, r.score) for r in QUERIES["op9_language_id"](spark, sf).collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-9)
