@@ -3,6 +3,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from vicinal.functions import distance
 from vicinal.functions.kernel import Rows, Running, nearest
 from vicinal.operators import knn as K
 from vicinal.operators.knn import knn, knn_wide, pairwise, recall
@@ -106,3 +107,10 @@ def test_grid_equals_broadcast(spark, monkeypatch):
     assert "CartesianProduct" not in pairwise(Q, X)._jdf.queryExecution().toString()
     monkeypatch.setattr(K, "HELD", 50)
     assert sorted(map(tuple, knn(Q, X, 4, strategy="arrow", tile_size=3).collect())) == want["arrow"]
+
+
+@pytest.mark.parametrize("d", [1, distance.WRITTEN_OUT, distance.WRITTEN_OUT + 1])
+def test_both_forms_of_the_distance_equal_the_kernel(spark, d):
+    X, Q = gaussian(spark, 50, d), queries(spark, 7, d)
+    got = {s: [tuple(r) for r in knn(Q, X, 9, strategy=s).orderBy("q_id", "rank").collect()] for s in ("sql", "arrow")}
+    assert got["sql"] == got["arrow"] and len(got["sql"]) == 63

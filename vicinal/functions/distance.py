@@ -6,10 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def l2sq(q: Column | str, x: Column | str) -> Column:
-    """Squared Euclidean distance of two float arrays as float; no square root."""
-    squares = F.zip_with(q, x, lambda a, b: (a - b) * (a - b))
-    return F.aggregate(squares, F.lit(0).cast("float"), lambda acc, v: (acc + v).cast("float"))
+#: Dimensions up to which the sum is written out term by term, so that it compiles with the plan around it.
+WRITTEN_OUT = 128
+
+
+def l2sq(q: str, x: str, d: int) -> Column:
+    """Squared Euclidean distance of two float array columns of length d, as float; no square root.
+
+    Longer vectors take higher-order functions, which Spark interprets: the same sum, several times slower.
+    """
+    if d > WRITTEN_OUT:
+        return F.aggregate(F.zip_with(q, x, lambda a, b: a - b), F.lit(0).cast("float"), lambda acc, v: acc + v * v)
+    terms = [f"(get({q}, {j}) - get({x}, {j})) * (get({q}, {j}) - get({x}, {j}))" for j in range(d)]
+    return F.expr(" + ".join(["cast(0 as float)", *terms]))
 
 
 def checked_vector(vec: Column | str, d: int) -> Column:

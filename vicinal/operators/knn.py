@@ -95,7 +95,7 @@ def pairwise(Q: DataFrame, X: DataFrame) -> DataFrame:
     else:
         left, right = _on_grid(q, x, -(-n // query_block(d)), corpus_blocks(X.count(), d))
         pairs = left.join(right, ["qb", "xb"])
-    return pairs.select("q_id", "x_id", l2sq("q_vec", "x_vec").alias("dist"))
+    return pairs.select("q_id", "x_id", l2sq("q_vec", "x_vec", d).alias("dist"))
 
 
 def _sql(Q: DataFrame, X: DataFrame, k: int, tile_size: int | None) -> DataFrame:
