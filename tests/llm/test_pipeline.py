@@ -5,6 +5,10 @@ import pytest
 
 import corpus_pipeline
 from tests.compare import SF
+from tests.llm.test_decontaminate import all_leaks
+from tests.llm.test_langid import slow_languages
+from tests.llm.test_mixing import slow_targets
+from tests.llm.test_simhash import slow_components, slow_fingerprint
 from vicinal.llm import decontaminate, mixing, simhash
 from vicinal.llm.catalog import QUERIES
 from vicinal.runtime import materialise, scratch, shared_dir
@@ -33,6 +37,43 @@ def test_stages_take_effect_and_keep_columns(spark):
     assert corpus_pipeline.run(spark, SF).count() == after.count()
 
 
+def test_whole_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage computed anew in plain Python, on a table that holds copies, leaks and texts without letters."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    first = docs.orderBy("doc_id").first()
+    more = [(9000, first.text, None, "web", 1), (9001, (first.text or "") + " ", None, None, 1), (9002, "12 34", None, "web", 5), (9003, None, "en", "web", 0)]
+    more += [(9004, f"{prose(1)} {items[0][1]} {prose(2)}", "en", "web", 1)]
+    folder = str(tmp_path)
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    spoken = slow_languages(rows)
+    kept = {r.doc_id: r for r in rows if spoken[r.doc_id][0] != "und" and spoken[r.doc_id][1] >= 0.3}
+    of = slow_components([(i, slow_fingerprint(r.text)) for i, r in kept.items()])
+    kept = {i: r for i, r in kept.items() if of[i] == i}
+    bad = {d for d, *_ in all_leaks([(i, r.text) for i, r in kept.items()], items)}
+    assert 9004 in bad and not {9000, 9001, 9002, 9003} & set(kept)
+    kept = {i: r for i, r in kept.items() if i not in bad}
+    words = {i: len(r.text.split()) for i, r in kept.items()}
+    names = sorted({r.source for r in kept.values()}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(words[i] for i, r in kept.items() if r.source == s) for s in names]
+    want = dict(zip(names, slow_targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
+    got = corpus_pipeline.run(spark, folder).collect()
+    copies = Counter(r.doc_id for r in got)
+    assert set(copies) <= set(kept) and all(tuple(r)[:-1] == tuple(kept[r.doc_id]) for r in got)
+    for s, size in zip(names, sizes, strict=True):
+        own, base = [i for i, r in kept.items() if r.source == s], int(want[s] / size + 1e-9)
+        assert all(copies[i] in (base, base + 1) for i in own)
+        assert abs(sum(copies[i] * words[i] for i in own) - want[s]) <= max(words[i] for i in own)
+    held = Counter()
+    for r in got:
+        held[r.shard] += len(r.text.encode()) + 8
+    largest = max(len(r.text.encode()) + 8 for r in got)
+    assert max(held.values()) - min(held[k] for k in range(24)) <= largest
+
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
