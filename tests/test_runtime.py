@@ -50,3 +50,14 @@ def test_searches_leave_settings_alone(spark):
     for name in ("knn_k64", "knn_qgroup16", "pairwise_dist"):
         QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert dict(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.sessionState().conf().getAllConfs())) == before
+
+
+def test_queries_that_write_release_their_files(spark):
+    from vicinal.plans.catalog import QUERIES
+
+    before = held(spark)
+    with scratch():
+        for name in ("json_results", "json_failures", "chart_points", "sweep_failures"):
+            assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+        assert len(held(spark)) >= len(before) + 3
+    assert held(spark) == before

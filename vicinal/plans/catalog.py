@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from vicinal.operators import blocks, report
 from vicinal.operators.knn import knn, knn_wide, merge_partials, pairwise, partials
 from vicinal.plans import studies
 from vicinal.plans.variants import run_variant
-from vicinal.runtime import shared_dir
+from vicinal.runtime import scratch_path
 from vicinal.sources import generate, reports
 from vicinal.sources.vectors import corpus, query_set
 
@@ -85,7 +84,7 @@ def _stored(read: Callable[[SparkSession, list[str]], DataFrame]) -> Query:
     """A reader over two reports that are written first: the rows of each src as a JSON document, and one failure."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        folder, rows = f"{shared_dir(s)}/vicinal/reports-{uuid.uuid4().hex}", _bench(s).orderBy("src", "pos").collect()
+        folder, rows = scratch_path(s, "reports"), _bench(s).orderBy("src", "pos").collect()
         for src in (0, 1):
             own = [{c: r[c] for c in ("variant", "n", "k", "ms", "recall")} for r in rows if r.src == src]
             reports.store_report(s, f"{folder}/{src}", {"m": 1000 + src, "d": 8}, own, [{"variant": "q2", "n": 5, "k": src, "error": "ValueError: no"}])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 from statistics import fmean, pstdev
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from vicinal.operators.knn import corpus_blocks, query_block, screened
 from vicinal.plans import charts
 from vicinal.plans.sweep import sweep
-from vicinal.runtime import shared_dir
+from vicinal.runtime import scratch_path
 from vicinal.sources import reports, svg
 from vicinal.sources.vectors import corpus
 
@@ -82,7 +81,7 @@ BLOCK_SQL = """select m, d, k, cast(least(33554432 // (4 * d + 16), 8388608 // k
 def chart_points(rows: DataFrame) -> DataFrame:
     """line, x, y of every point of a k sweep's chart, read back from the SVG document in the shared folder."""
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/vicinal/chart-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "chart")
     text = svg.chart(charts.k_sweep(rows), "k sweep", "queries", "queries per second", log_x=True)
     reports.store_text(spark, path, text)
     point = r"<title>(.*): (\S+), (\S+)</title>"

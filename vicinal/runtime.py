@@ -108,6 +108,13 @@ def _clean_up() -> None:
             return
 
 
+def scratch_path(spark: SparkSession, label: str, outlive: bool = False) -> str:
+    """A new path in the shared folder; what is written there goes with the scope around."""
+    path = f"{shared_dir(spark)}/vicinal/{label}-{uuid.uuid4().hex}"
+    _hold(path, lambda: _delete(path), outlive)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "step", outlive: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder (in folders by some columns) and read it back.
 
@@ -115,8 +122,7 @@ def materialise(df: DataFrame, label: str = "step", outlive: bool = False, by: t
     (`scratch`), or with the next outer one if they are to outlive it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vicinal/{label}-{uuid.uuid4().hex}"
-    _hold(path, lambda: _delete(path), outlive)
+    path = scratch_path(spark, label, outlive)
     df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out = out.select(*df.columns) if by else out
